@@ -5,8 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality_rules
-from .common import materialize, table
+from . import bpe, decontaminate, line_dedup, quality_rules, secrets_scan, token_counts, url_filter, warc
+from .common import materialize, scratch_dir, table
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of the secrets of every document."""
+    found = secrets_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id", *map(count, secrets_scan.KINDS), F.sha2(secrets_scan.span_string(base), 256).alias("base_sha256"), secrets_scan.span_string(F.col("spans")).alias("spans")
+    )
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it exceeds 512 tokens."""
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the text that they decode to."""
+    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), decoded=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page, then read the archives back."""
+    folder = scratch_dir(spark, "warc")
+    manifest = materialize(warc.write_archives(table(spark, sf_dir, "pages"), folder), "warc-manifest")
+    found = warc.read_archives(spark, folder, manifest, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND response <> page_id THEN response END AS refers_to
+FROM w
+"""
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of every page's url."""
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +106,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_token_counts": op3_token_counts,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_warc": op5_warc,
+    "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
+ORACLE_SQL = {"op5_warc": OP5_SQL, "op8_line_dedup": OP8_SQL}
