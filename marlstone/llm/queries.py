@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality_rules, secrets_scan, token_counts, url_filter, warc
+from . import bpe, decontaminate, html_main_text, line_dedup, quality_rules, secrets_scan, token_counts, url_filter, warc
 from .common import materialize, scratch_dir, table
 
 
@@ -16,6 +16,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_main_text.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of the secrets of every document."""
     found = secrets_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
@@ -106,6 +112,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_main_text": op1_html_main_text,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
     "op4_bpe_round_trip": op4_bpe_round_trip,
