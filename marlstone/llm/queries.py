@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_main_text, line_dedup, quality_rules, secrets_scan, token_counts, url_filter, warc
+import corpus_pipeline
+
+from . import bpe, decontaminate, html_main_text, line_dedup, ngram_join, quality_rules, secrets_scan, token_counts, url_filter, warc
 from .common import materialize, scratch_dir, table
 
 
@@ -63,6 +65,11 @@ FROM w
 """
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, fitting rule and verdict of every page's url."""
     judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -117,9 +124,11 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_warc": op5_warc,
+    "op6_ngram_join": op6_ngram_join,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op5_warc": OP5_SQL, "op8_line_dedup": OP8_SQL}
