@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import content_queries, metadata_queries
+
+QUERIES: dict = {**metadata_queries.QUERIES, **content_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**metadata_queries.ORACLE_SQL, **content_queries.ORACLE_SQL}
