@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import casefold
 
@@ -17,8 +18,8 @@ SEGMENT_NAMESPACE = "cbd3960d2c2d52e8b4de5f37e8e9dc75"
 
 
 def json_string(text: Column) -> Column:
-    """A JSON string literal; Spark writes control characters with capital hex digits, JSON here has small ones."""
-    body = F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', '\\\\\\\\"')
+    """A JSON string literal for texts without control characters other than those with short escapes."""
+    body = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for raw, short in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
         body = F.replace(body, F.lit(raw), F.lit(f"\\{short}"))
     return F.concat(F.lit('"'), body, F.lit('"'))
@@ -69,12 +70,12 @@ def canonical_json(value) -> str:
     return json.dumps(normalised_json(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: canonical_json(json.loads(t)), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _hash_input(contents: pd.Series, metadata: pd.Series) -> pd.Series:
     return pd.Series([canonical_json({"content": c, "source_metadata": json.loads(m)}) for c, m in zip(contents, metadata, strict=True)], dtype="object")
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: CJK ideographs that form words of their own.
 CJK = (
@@ -47,12 +48,12 @@ def normalise_token(token: Column) -> Column:
     return F.when(is_identifier(token), F.upper(token)).otherwise(F.lower(token))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(texts: pd.Series) -> pd.Series:
     return texts.str.casefold()
 

@@ -13,19 +13,19 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def doubles(v: Column) -> Column:
-    return v.cast("array<double>")
+def doubles(v: Column | str) -> Column:
+    return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def norm(v: Column) -> Column:
+def norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
-def cosine(a: Column, b: Column) -> Column:
+def cosine(a: Column | str, b: Column | str) -> Column:
     """cosine similarity; null for a zero vector."""
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 

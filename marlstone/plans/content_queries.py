@@ -478,7 +478,7 @@ def j10(spark, sf):
 
 
 @query("j11_o11_r4_graph_hits", f"""WITH {GRAPH_SQL}, reach AS (SELECT id FROM seeds UNION SELECT b FROM rel WHERE a IN (SELECT id FROM seeds) AND b IS NOT NULL UNION SELECT a FROM rel WHERE b IN (SELECT id FROM seeds))
-  SELECT DISTINCT s_suppkey AS id, 1.0 AS score FROM supplier WHERE s_nationkey IN (SELECT id FROM reach) ORDER BY id LIMIT 20""")
+  SELECT DISTINCT s_suppkey AS id, CAST(1 AS DOUBLE) AS score FROM supplier WHERE s_nationkey IN (SELECT id FROM reach) ORDER BY id LIMIT 20""")
 def j11(spark, sf):
     entities, related, mentions = _graph(spark, sf)
     return G.graph_hits(G.mentioned_entities(entities, _question(spark, sf)), related, mentions, 20)

@@ -467,7 +467,7 @@ def p14(spark, sf):
     return V.candidate_violations(s)
 
 
-@query("p15_d11_vector_validation", """SELECT vec_id, len(embedding) > 0 AND len(embedding) <= 32768 AND len(list_filter(embedding, x -> NOT isfinite(x))) = 0 AND vec_id >= 0 AS valid FROM embeddings""")
+@query("p15_d11_vector_validation", """SELECT vec_id, len(embedding) > 0 AND len(embedding) <= 32768 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND vec_id >= 0 AS valid FROM embeddings""")
 def p15(spark, sf):
     from ..functions.vectors import valid_vector
 
