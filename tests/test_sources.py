@@ -42,7 +42,7 @@ def test_decoding():
     assert decode.decode_text("﻿é".encode()) == ("é", "utf-8-sig")
     text = "Plain words in a longer text, so that detection is sure of it.\nSecond line.\n" * 5
     assert decode.decode_text(text.encode("utf-16-le"))[0] == text
-    for bad in (b"\x00\x01\x02" * 50, b"\xff\xff\xff", "x�".encode()):
+    for bad in (b"\x00\x01\x02" * 50, b"\xff\xff\xff", "xy�".encode()):
         with pytest.raises(decode.ParseError):
             decode.decode_text(bad)
 
