@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
@@ -44,7 +44,7 @@ CHUNK_SHINGLES, CHUNK_LEAST = 2_000_000, 4
 SMALL_BUCKET = 24
 FRAGMENTS = 4
 #: 64-bit words of the XOR sketch: sets up to SKETCH_SPLIT shingles, and larger ones.
-SKETCH_WORDS, SKETCH_SPLIT = (8, 64), 800
+SKETCH_WORDS, SKETCH_SPLIT = (8, 64), 500
 BLOOM_WORDS = 1 << 18
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -66,12 +66,13 @@ def shingle_set(text: str, width: int = 5) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     known = _WORDS
-    if len(known) > 500_000:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    try:
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    except KeyError:
+        if len(known) > 500_000:
+            known.clear()
+        known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words).difference(known))
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(h) < width:  # the whole sequence as one shingle, apart from all longer ones
         odd = _MIX[np.arange(len(h)) % len(_MIX)]
         return _finish(np.array([len(h)], np.uint64) + (h * odd).sum(keepdims=True))
@@ -191,10 +192,14 @@ def _postings(rows: DataFrame, frequent: np.ndarray, width: int, seed: int, perc
     return rows.mapInArrow(run, "s long, k long, c long")
 
 
-def _possible(n, i, m, j, percent: int):
-    """Whether sets of n and m shingles that share the shingle at positions i and j can be linked."""
+def _possible(n, i, m, j, percent: int, first: bool = True):
+    """Whether sets of n and m shingles that share the shingle at positions i and j can be linked.
+
+    first: the shingle is taken for their first common one. A linked pair that has an earlier one passes
+    in that one's bucket, so generating pairs by this bound loses none.
+    """
     overlap = -(-percent * (n + m) // (100 + percent))
-    reach = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
+    reach = 1 + np.minimum(n - i - 1, m - j - 1) + (0 if first else np.minimum(i, j))
     return (np.minimum(n, m) * 100 >= percent * np.maximum(n, m)) & (reach >= overlap)
 
 
@@ -274,6 +279,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
             ends = np.append(starts[1:], len(s))
             sizes, n, i = ends - starts, _size(k), _place(k)
             found: list[tuple] = []
+            kept: list[tuple] = []
             small = (sizes >= 2) & (sizes <= SMALL_BUCKET)
             if first_run_large:
                 small[0] = False
@@ -302,9 +308,11 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
                     for other in (b - 1, b, b + 1):
                         if other in leaders:
                             lc, ln, li = leaders[other]
-                            ok = own[_possible(n[own], i[own], ln, li, percent) & (c[own] != lc)]
+                            ok = own[_possible(n[own], i[own], ln, li, percent, first=False) & (c[own] != lc)]
                             found.append((c[ok], np.full(len(ok), lc), n[ok], np.full(len(ok), ln)))
-                yield _bucket_rows(s[lo:hi], k[lo:hi], c[lo:hi])
+                kept.append((s[lo:hi], k[lo:hi], c[lo:hi]))
+            if kept:
+                yield _bucket_rows(*(np.concatenate(x) for x in zip(*kept, strict=True)))
             found = [f for f in found if len(f[0])]
             if found:
                 yield _pair_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -317,15 +325,26 @@ def _remaining(buckets: DataFrame, percent: int) -> DataFrame:
     """Pairs of large buckets (s, k, c, root) whose classes lie in different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        size = 0
         for (s, k, c, root), starts, _, _ in _runs(batches, ["s", "k", "c", "root"], 1 << 62):
             for lo, hi in zip(starts, np.append(starts[1:], len(s)), strict=True):
-                if (root[lo:hi] == root[lo]).all():
-                    continue
                 n, i, own, r = _size(k[lo:hi]), _place(k[lo:hi]), c[lo:hi], root[lo:hi]
+                # by size: the partners of a class lie in one stretch
+                order = np.argsort(n, kind="stable")
+                n, i, own, r = n[order], i[order], own[order], r[order]
+                ends = np.searchsorted(n, 100 * n // percent, "right")
                 for a in range(hi - lo - 1):
-                    b = a + 1 + np.flatnonzero((r[a + 1 :] != r[a]) & _possible(n[a + 1 :], i[a + 1 :], n[a], i[a], percent))
+                    b = np.arange(a + 1, ends[a])
+                    b = b[(r[b] != r[a]) & _possible(n[b], i[b], n[a], i[a], percent)]
                     if len(b):
-                        yield _pair_batch(own[b], np.full(len(b), own[a]), n[b], np.full(len(b), n[a]))
+                        found.append((own[b], np.full(len(b), own[a]), n[b], np.full(len(b), n[a])))
+                        size += len(b)
+                    if size >= 200_000:
+                        yield _pair_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                        found, size = [], 0
+        if found:
+            yield _pair_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     # only buckets with two components or more are dealt
     mixed = buckets.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
@@ -338,47 +357,75 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, se
     spark = rows.sparkSession
     sketches = reps.select("c", "sketch")
     kept = pairs.join(sketches.select(F.col("c").alias("x"), F.col("sketch").alias("sx")), "x").join(sketches.select(F.col("c").alias("y"), F.col("sketch").alias("sy")), "y")
-    differing = F.aggregate(F.zip_with("sx", "sy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    near = (F.size("sx") != F.size("sy")) | ((100 + percent) * differing <= (100 - percent) * (F.col("nx") + F.col("ny")))
-    kept = materialize(kept.where(near).select("x", "y", "nx", "ny"), "near-pairs")
+    kept = materialize(kept.where((100 + percent) * _differing(F.col("sx"), F.col("sy")) <= (100 - percent) * (F.col("nx") + F.col("ny"))).select("x", "y", "nx", "ny"), "near-pairs")
     involved = kept.select(F.col("x").alias("c")).unionAll(kept.select(F.col("y").alias("c"))).distinct()
     involved = materialize(involved.join(reps.select("c", "doc_id"), "c"), "near-classes")
-    # a Bloom filter of fixed size tells which texts to cut again; the join below is exact
-    slot = F.pmod(F.shiftrightunsigned("c", 6), F.lit(BLOOM_WORDS))
-    words = involved.groupBy(slot.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("c", F.lit(64)).cast("int"))).alias("bits")).collect()
+    # a Bloom filter of fixed size over their documents tells which texts to cut again; the join below is exact
+    key = F.coalesce(F.xxhash64("doc_id"), F.lit(0).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int"))
+    words = involved.groupBy(F.pmod(F.shiftrightunsigned(key, 6), F.lit(BLOOM_WORDS)).alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
     bloom = np.zeros(BLOOM_WORDS, np.int64)
     for w in words:
         bloom[w["w"]] = w["bits"]
     shared = spark.sparkContext.broadcast(bloom.view(np.uint64))
-    names = ["doc_id", "f", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, out, size = shared.value, [], 0
-        for doc_id, text in _texts(batches):
-            s = shingle_set(text, width)
-            if len(s):
-                c = np.array([_digest(s, seed)[0]], np.int64).view(np.uint64)[0]
-                if (bits[(int(c) >> 6) % BLOOM_WORDS] >> (c & np.uint64(63))) & np.uint64(1):
-                    cuts = np.searchsorted(s, np.array([f << 62 for f in range(1, FRAGMENTS)], np.uint64)).tolist()
-                    for f, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(s)], strict=True)):
-                        if b > a:
-                            out.append((doc_id, f, s[a:b].view(np.int64)))
-                            size += b - a
-            if size > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int8()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=names)
-                out, size = [], 0
+        for batch in batches:
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            hit = (bits[(keys >> np.uint64(6)) % np.uint64(BLOOM_WORDS)] >> (keys & np.uint64(63))) & np.uint64(1)
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            for k in np.flatnonzero(hit).tolist():
+                s = shingle_set(texts[k].as_py(), width)
+                if not len(s):
+                    continue
+                c = _digest(s, seed)[0]
+                cuts = np.searchsorted(s, np.array([f << 62 for f in range(1, FRAGMENTS)], np.uint64)).tolist()
+                for f, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(s)], strict=True)):
+                    if b > a:
+                        out.append((ids[k].as_py(), c, f, s[a:b].view(np.int64)))
+                        size += b - a
+                if size > 200_000:
+                    yield _fragment_batch(out)
+                    out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int8()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=names)
+            yield _fragment_batch(out)
 
-    cut = rows.mapInArrow(run, "doc_id long, f byte, part array<long>")
-    parts = materialize(cut.join(involved, "doc_id").dropDuplicates(["c", "f"]).select("c", "f", "part"), "near-fragments")
+    cut = rows.select("doc_id", "text", key.alias("key")).mapInArrow(run, "id long, k long, f byte, part array<long>")
+    parts = cut.join(involved, (cut["k"] == involved["c"]) & cut["id"].eqNullSafe(involved["doc_id"])).select("c", "f", "part")
+    parts = materialize(parts, "near-fragments")
     left = kept.join(parts.select(F.col("c").alias("x"), "f", F.col("part").alias("px")), "x")
     both = left.join(parts.select(F.col("c").alias("y"), "f", F.col("part").alias("py")), ["y", "f"])
-    partial = both.select("x", "y", "nx", "ny", F.size(F.array_intersect("px", "py")).alias("o"))
-    summed = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("o").alias("o"))
+    partial = both.select("x", "y", "nx", "ny", "f", F.size(F.array_intersect("px", "py")).alias("o"))
+    # a document that stands in the table twice gives each of its fragments twice
+    once = partial.groupBy("x", "y", "nx", "ny", "f").agg(F.max("o").alias("o"))
+    summed = once.groupBy("x", "y", "nx", "ny").agg(F.sum("o").alias("o"))
     return summed.where(100 * F.col("o") >= percent * (F.col("nx") + F.col("ny") - F.col("o"))).select("x", "y")
 
 
+def _differing(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ; a long one is folded to meet a short one."""
+    few = SKETCH_WORDS[0]
+
+    def folded(s: Column) -> Column:
+        def word(w: Column) -> Column:
+            out = F.get(s, w)
+            for k in range(1, SKETCH_WORDS[1] // few):
+                out = out.bitwiseXOR(F.get(s, w + few * k))
+            return out
+
+        return F.when(F.size(s) > few, F.transform(F.sequence(F.lit(0), F.lit(few - 1)), word)).otherwise(s)
+
+    alike = F.size(a) == F.size(b)
+    x, y = F.when(alike, a).otherwise(folded(a)), F.when(alike, b).otherwise(folded(b))
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+
+
+def _fragment_batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int8(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([o[q] for o in out], t) for q, t in enumerate(kinds)], names=["id", "k", "f", "part"])
+
+
 def ngram_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; sets link at a Jaccard similarity of percent / 100."""
     spark = docs.sparkSession
