@@ -41,7 +41,7 @@ from .components import connected_components
 FREQUENT_SHARE = 2e-6
 CHUNK_SHINGLES, CHUNK_LEAST = 2_000_000, 4
 #: Buckets of up to so many classes give all their pairs.
-SMALL_BUCKET = 24
+SMALL_BUCKET = 6
 FRAGMENTS = 4
 #: 64-bit words of the XOR sketch: sets up to SKETCH_SPLIT shingles, and larger ones.
 SKETCH_WORDS, SKETCH_SPLIT = (8, 64), 500
