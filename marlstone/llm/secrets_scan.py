@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns plus a battery of randomness tests (DataFrame functions only).
 
 Patterns give the base spans. The battery judges every run of 20 or more token
-characters. Its encoding is inferred from its characters, and three tests are made over
-that encoding's alphabet: chi-squared uniformity, Wald-Wolfowitz runs about the middle of
-the alphabet, and lag-1 serial correlation. A run is a finding when the three
+characters. "=" is no token character: a run after it (name=value, ?sig=value) is a run of
+its own, and "=" belongs to a run only as padding at its end. The encoding of a run is
+inferred from its characters, and three tests are made over that encoding's alphabet:
+chi-squared uniformity, Wald-Wolfowitz runs about the middle of the alphabet, and lag-1
+serial correlation. A run is a finding when the three
 together (Cauchy combination) don't reject randomness, and when its chi-squared lies too
 low for natural text of its length (noncentral chi-squared, normal approximation). The
 latter p-values are controlled by Benjamini-Hochberg within each length band over the
@@ -30,7 +32,7 @@ ASSIGN_MIN = 12
 KINDS = ("assign", "access", "hex", "random")
 
 #: Runs that the battery judges.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}=*"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}=*"
 #: Encoding, its pattern, its alphabet, and the excess sum of squares of natural
 #: text over it (alphabet size times the sum of squared letter rates of about 0.066, less 1).
 ENCODINGS = (

@@ -34,6 +34,20 @@ def test_battery_finds_random_keys_and_leaves_words(spark, prose):
     assert not any(got[k] for k in range(100, 140))
 
 
+def test_battery_judges_runs_behind_an_equals_sign(spark, prose):
+    rng = random.Random(8)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows, expected = [], {}
+    for k in range(30):
+        before, value = prose(k, 10) + (" aws_key=", " GET /x?sig=", " aws_secret_access_key=")[k % 3], "".join(rng.choice(base64) for _ in range(60)) + "=" * (k % 2)
+        rows.append((k, f"{before}{value}&x=1 end"))
+        expected[k] = [(len(before), len(before) + len(value), "random")]
+    rows += [(100 + k, f"{prose(k, 20)} name={'the-end-of-it-all-' * 4}{k}") for k in range(10)]
+    got = {r.doc_id: [(x.start, x.end, x.kind) for x in r.spans] for r in s.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[k] == expected[k] for k in range(30)) >= 27
+    assert not any(got[k] for k in range(100, 110))
+
+
 def test_span_string_and_empty_table(spark):
     df = spark.createDataFrame([(1, "token=abcdefabcdefabcdef")], "doc_id long, text string")
     row = s.find_secrets(df).select(s.span_string(s.F.col("spans")).alias("t")).first()
