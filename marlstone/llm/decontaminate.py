@@ -1,15 +1,17 @@
-"""Benchmark decontamination by spaced-seed hashing (DataFrame functions only).
+"""Benchmark decontamination by seeds that cover every allowed set of substitutions (DataFrame functions only).
 
-Each seed is a fixed mask over word positions; positions outside the mask are ignored, so a
-substituted word between them does not break a hit. Every position of every document is
-hashed under every mask and joined with the hashes of every benchmark position. Each
-hit fixes a diagonal (document offset minus item offset); along it the whole item is
-compared with the document, word by word, and the pair is reported when enough words
-agree. Windows travel inside the hit row, so texts are never shuffled.
+An item of n words may lose as many as n less the needed matches to substitutions. It is cut
+into one block more than that, so that at least one block stays whole wherever
+they fall; each block (its first words, where it is long) is a seed. Every position of every
+document is hashed at every seed width in use and joined with the seeds. Each hit fixes a
+diagonal (document offset minus item offset); along it the whole item is compared with the
+document, word by word, and the pair is reported when enough words agree. So every
+alignment with enough agreeing words is found, whatever the item's length, down to one
+word. Windows travel inside the hit row, so texts are never shuffled.
 
 The benchmark side is broadcast only after its size is checked; beyond the bound Catalyst
-joins by shuffle. Defined cases: null or empty texts have no hits; items with fewer words
-than the shortest mask can't be found and are never reported; rows repeated in either
+joins by shuffle. Defined cases: null or empty texts have no hits; a document's end counts
+as substitutions of the words beyond it; at least one word must agree; rows repeated in either
 table give one row for each distinct (doc_id, item_id); extra columns are ignored.
 """
 
@@ -20,10 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Fixed masks (1: compared). Spans of 11 and 12, weights of 7; together any 15 words with one
-#: substitution, and nearly all with two, hold a hit.
-MASKS = ("11101001011", "1100101100111")
-#: A hit row of the benchmark side takes about 40 bytes; up to this many are broadcast.
+#: Seeds are the first words of a block, so many at most: bounds the widths hashed at a position.
+WIDEST = 5
+#: A seed of the benchmark side takes about 40 bytes and a word 8; up to this many words, so fewer seeds, are broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -33,16 +34,31 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seed(h: Column, i: Column, mask: str, k: int) -> Column:
-    """64-bit hash of the words under the mask laid at position i."""
-    return F.xxhash64(F.lit(k), *[F.get(h, i + p) for p, bit in enumerate(mask) if bit == "1"])
+def _seed(h: Column, i: Column, width: int) -> Column:
+    """64-bit hash of the words at positions i to i + width - 1."""
+    return F.xxhash64(F.lit(width), *[F.get(h, i + p) for p in range(width)])
 
 
-def _seeded(df: DataFrame, *keep: str) -> DataFrame:
-    """keep, h, i, seed: a row for each mask and position, in one pass over each row's words."""
-    last = F.size("h") - min(map(len, MASKS))
-    at = df.select(*keep, "h", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
-    seeds = F.array(*[_seed(F.col("h"), F.col("i"), mask, k) for k, mask in enumerate(MASKS)])
+def _needed(n: Column, min_match: float) -> Column:
+    """Words of an item of n words that must agree."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(min_match) * n)).cast("int")
+
+
+def _item_seeds(items: DataFrame, min_match: float) -> DataFrame:
+    """seed, width, item_id, item_key, j, item_words: one row for each block of each item."""
+    n = F.size("h")
+    blocks = n - _needed(n, min_match) + 1
+    cut = items.select("item_id", "item_key", "h", blocks.alias("blocks"), F.explode(F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1))).alias("b"))
+    edge = lambda b: F.floor(b * F.size("h") / F.col("blocks")).cast("int")
+    at = cut.select("item_id", "item_key", "h", edge(F.col("b")).alias("j"), F.least(F.lit(WIDEST), edge(F.col("b") + 1) - edge(F.col("b"))).alias("width"))
+    seed = F.coalesce(*[F.when(F.col("width") == w, _seed(F.col("h"), F.col("j"), w)) for w in range(1, WIDEST + 1)])
+    return at.select(seed.alias("seed"), "width", "item_id", "item_key", "j", F.size("h").alias("item_words"))
+
+
+def _seeded(df: DataFrame, widths: list[int], *keep: str) -> DataFrame:
+    """keep, h, i, seed: a row for each width and position, in one pass over each row's words."""
+    at = df.select(*keep, "h", F.explode(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))).alias("i"))
+    seeds = F.array(*[_seed(F.col("h"), F.col("i"), w) for w in widths])
     return at.select(*keep, "h", "i", F.explode(seeds).alias("seed"))
 
 
@@ -50,21 +66,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: float = 0.8, te
     """doc_id, item_id, matched_words, item_words, doc_offset of the best alignment of each leaking pair."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).withColumn("item_key", F.xxhash64("h"))
     items = materialize(items.dropDuplicates(["item_id", "item_key"]), "benchmark-words")
-    keys = _seeded(items, "item_id", "item_key").select("seed", "item_id", "item_key", F.col("i").alias("j"), F.size("h").alias("item_words"))
+    keys = materialize(_item_seeds(items, min_match), "benchmark-seeds")
+    widths = sorted(r["width"] for r in keys.select("width").distinct().collect()) or [1]  # at most WIDEST rows
+    keys = keys.drop("width")
     bodies = items.select("item_id", "item_key", F.col("h").alias("item_h"))
-    if items.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0] * len(MASKS) <= BROADCAST_ROWS:
+    if items.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         keys, bodies = F.broadcast(keys), F.broadcast(bodies)
-    hits = _seeded(docs.select("doc_id", word_hashes(F.col(text_col)).alias("h")), "doc_id").join(keys, "seed")
+    hits = _seeded(docs.select("doc_id", word_hashes(F.col(text_col)).alias("h")), widths, "doc_id").join(keys, "seed")
     # the item's stretch of the document, cut at the document's ends
     diagonal = F.col("i") - F.col("j")
     stretch = F.slice("h", F.greatest(F.lit(1), diagonal + 1), F.col("item_words") + F.least(F.lit(0), diagonal))
     hits = hits.select("doc_id", "item_id", "item_key", "item_words", diagonal.alias("diagonal"), stretch.alias("stretch"))
-    hits = hits.dropDuplicates(["doc_id", "item_id", "item_key", "diagonal"])
     aligned = hits.join(bodies, ["item_id", "item_key"])
     skipped = F.greatest(F.lit(0), -F.col("diagonal"))
     agree = F.zip_with("stretch", F.slice("item_h", skipped + 1, F.size("stretch")), lambda a, b: a.eqNullSafe(b))
     scored = aligned.select("doc_id", "item_id", "item_words", F.col("diagonal").alias("doc_offset"), F.size(F.filter(agree, lambda x: x)).alias("matched_words"))
-    scored = scored.where(F.col("matched_words") >= F.ceil(F.lit(min_match) * F.col("item_words")))
+    scored = scored.where(F.col("matched_words") >= _needed(F.col("item_words"), min_match))
     best = F.max_by(F.struct("matched_words", "item_words", "doc_offset"), F.struct("matched_words", -F.col("doc_offset")))
     found = scored.groupBy("doc_id", "item_id").agg(best.alias("b"))
     return found.select("doc_id", "item_id", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("matched_words", "item_words", "doc_offset")])

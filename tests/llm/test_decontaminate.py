@@ -1,3 +1,4 @@
+import math
 import random
 
 from marlstone.llm import decontaminate as d
@@ -41,3 +42,36 @@ def test_shuffle_join_gives_the_same(spark, prose, monkeypatch):
     docs, items = spark.createDataFrame([(1, prose(2, 50)), (2, prose(3, 50))], "doc_id long, text string"), spark.createDataFrame([(5, " ".join(prose(2, 50).split()[10:40]))], "item_id long, text string")
     monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
     assert [(r.doc_id, r.item_id, r.doc_offset) for r in d.find_leaks(docs, items).collect()] == [(1, 5, 10)]
+
+
+def test_recall_is_whole_at_every_item_length(spark, prose):
+    rng, items, rows, planted = random.Random(12), {n: prose(5000 + n, n).split() for n in range(1, 46)}, [], {}
+    for n, item in items.items():
+        for trial in range(4):
+            w, allowed = list(item), n - math.ceil(0.8 * n)
+            spots = [(k + 1) * n // (allowed + 1) for k in range(allowed)] if trial == 0 else rng.sample(range(n), allowed)
+            for p in spots:
+                w[p] = "OTHER"
+            planted[len(rows)] = n
+            rows.append((len(rows), f"{prose(9000 + len(rows), 12)} {' '.join(w)} {prose(7000 + len(rows), 12)}"))
+    expected = set()
+    for k, text in rows:
+        t = text.split()
+        for n, item in items.items():
+            best = max(sum(t[o + p] == item[p] for p in range(max(0, -o), min(n, len(t) - o))) for o in range(1 - n, len(t)))
+            if best >= math.ceil(0.8 * n):
+                expected.add((k, n, best))
+    found = d.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id, r.matched_words) for r in found.collect()}
+    pairs = {g[:2] for g in got}
+    recall = {n: sum((k, n) in pairs for k in planted if planted[k] == n) / 4 for n in items}
+    assert recall == dict.fromkeys(items, 1.0)
+    assert got == expected
+
+
+def test_seeds_follow_the_threshold(spark, prose):
+    item = prose(31, 12).split()
+    docs = spark.createDataFrame([(1, " ".join(w if k % 2 else "OTHER" for k, w in enumerate(item))), (2, " ".join(item))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {m: sorted(r.doc_id for r in d.find_leaks(docs, bench, m).collect()) for m in (0.5, 1.0)}
+    assert found == {0.5: [1, 2], 1.0: [2]}
