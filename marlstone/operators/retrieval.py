@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import clamp, cosine, result_score
+from ..functions.vectors import clamp, cosine, dot, doubles, norm, result_score
 
 DEFAULTS = {"mode": "hybrid", "top_k": 5, "score_threshold": 0.3, "semantic_weight": 0.7, "keyword_weight": 0.3, "rerank_enabled": False}
 
@@ -47,14 +47,23 @@ def vector_hits(vectors: DataFrame, query: list[float], limit: int, id_col: str
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
+#: Vectors that top_k_per_query scores at a time for one query.
+BLOCK = 1024
+
+
 def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """O1 for a table of queries (query_id, vector), in one pass over the vectors: each task keeps k rows a query.
+    """O1 for a table of queries (query_id, vector) of any size: blocks of vectors are scored query by query, and k rows a block and query are ranked.
 
-    Queries are a stated set; they are broadcast if Spark finds them small, else scanned by nested loop.
+    Queries are broadcast if Spark finds them small, else joined as a product of their partitions and those of the blocks.
     """
-    scored = vectors.join(queries, F.lit(True)).select("query_id", "id", clamp(F.coalesce(cosine("embedding", "vector"), F.lit(0.0))).alias("score"))
+    row = F.struct("id", doubles("embedding").alias("v"), norm("embedding").alias("n"))
+    blocks = vectors.groupBy(F.floor(F.monotonically_increasing_id() / BLOCK).alias("b")).agg(F.collect_list(row).alias("block"))
+    asked = queries.select("query_id", doubles("vector").alias("q"), norm("vector").alias("qn"))
+    score = lambda x: clamp(F.coalesce(F.try_divide(dot(x["v"], F.col("q")), x["n"] * F.col("qn")), F.lit(0.0)))
+    best = F.slice(F.array_sort(F.transform("block", lambda x: F.struct((-score(x)).alias("s"), x["id"].alias("id")))), 1, k)
+    kept = blocks.join(asked, F.lit(True)).select("query_id", F.explode(best).alias("x")).select("query_id", "x.id", (-F.col("x.s")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return kept.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def keyword_hits(segments: DataFrame, query_terms: list[str]) -> DataFrame:
@@ -149,3 +158,14 @@ def capped_preview(rows: DataFrame, most: int) -> DataFrame:
 def referenced(results: DataFrame) -> DataFrame:
     """Results numbered for emission one by one."""
     return results.withColumn("reference", F.row_number().over(Window.orderBy("after_rank")).cast("long"))
+
+
+def referenced_all(results: DataFrame, ranges: int = 256) -> DataFrame:
+    """S22 for a whole table with a numeric after_rank: rows are numbered within ranges of it, beside the counts of the ranges before."""
+    edges = results.approxQuantile("after_rank", [k / ranges for k in range(1, ranges)], 0.001)
+    place = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(edges))]).cast("array<double>"), lambda x: F.col("after_rank") > x))
+    placed = results.withColumn("__range", place)
+    # at most as many rows as ranges
+    before = placed.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy("after_rank"))
+    return placed.withColumn("__within", within).join(F.broadcast(before), "__range").withColumn("reference", (F.col("__within") + F.col("__before")).cast("long")).drop("__range", "__within", "__before")

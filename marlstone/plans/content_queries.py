@@ -181,6 +181,17 @@ def o1(spark, sf):
     return top.select("query_id", "id", F.col("rank").cast("long").alias("rank"), V.result_score(F.col("score")).alias("score"))
 
 
+@query("o1_top_k_every_20th", """SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id AS id, greatest(0.0, least(1.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS score
+  FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10""")
+def o1_every_20th(spark, sf):
+    """The whole query set: every row whose id is divisible by 20, against all rows."""
+    e = read(spark, sf, "embeddings")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    top = R.top_k_per_query(e.select(F.col("vec_id").alias("id"), "embedding"), queries, 10)
+    return top.select("query_id", "id", F.col("rank").cast("long").alias("rank"), V.result_score(F.col("score")).alias("score"))
+
+
 @query("f11_f12_f14_cosine", """SELECT a.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS score
   FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 1) b""")
 def f11(spark, sf):
@@ -201,6 +212,12 @@ def s22(spark, sf):
     return R.referenced(rows).select("reference", "vec_id")
 
 
+@query("s22_t6_references_all", "SELECT row_number() OVER (ORDER BY vec_id) AS reference, vec_id FROM embeddings")
+def s22_all(spark, sf):
+    rows = read(spark, sf, "embeddings").select("vec_id", F.col("vec_id").alias("after_rank"))
+    return R.referenced_all(rows).select("reference", "vec_id")
+
+
 # --- text functions ---------------------------------------------------------------------------------------------
 
 

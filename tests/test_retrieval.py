@@ -128,3 +128,23 @@ def test_embedding_client():
     with pytest.raises(ValueError):
         providers.vector_backend("other")
     assert providers.query_vector(lambda q: [[1.0, 2.0]], "q") == [1.0, 2.0]
+
+
+def test_top_k_keeps_k_rows_a_block(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0])], "id long, embedding array<double>").repartition(3)
+    queries = vectors.where("id % 20 = 0").selectExpr("id AS query_id", "embedding AS vector")
+    pairs = vectors.join(queries).selectExpr("query_id", "id", "embedding", "vector").select("query_id", "id", retrieval.clamp(F.coalesce(retrieval.cosine("embedding", "vector"), F.lit(0.0))).alias("score")).collect()
+    expected = {(q, r.id, n, r.score) for q in (0, 20, 40, 60) for n, r in enumerate(sorted((p for p in pairs if p.query_id == q), key=lambda p: (-p.score, p.id))[:4], 1)}
+    assert {(r.query_id, r.id, r["rank"], r.score) for r in retrieval.top_k_per_query(vectors, queries, 4).collect()} == expected
+
+
+def test_every_20th_row_is_a_query_and_all_rows_are_numbered(spark):
+    from marlstone import catalog
+
+    from .conftest import DATA
+
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    top = catalog.QUERIES["o1_top_k_every_20th"](spark, DATA)
+    assert {r.query_id for r in top.select("query_id").distinct().collect()} == {r.vec_id for r in e.where("vec_id % 20 = 0").collect()}
+    assert catalog.QUERIES["s22_t6_references_all"](spark, DATA).count() == e.count()
