@@ -125,13 +125,14 @@ def ranked(candidates: DataFrame, rerank: DataFrame | None = None) -> DataFrame:
 def with_context(ranked_rows: DataFrame, segments: DataFrame, top_k: int) -> DataFrame:
     """The first hit of each context, with its parent's content where a completed parent exists."""
     fields = ("dataset_id", "dataset_index_id")
-    parents = segments.where(~F.col("deleted") & (F.col("status") == "completed") & (F.col("index_type") == "parent")).select(F.col("id").alias("parent_id"), *fields, F.col("content").alias("__parent"))
-    rows = ranked_rows.join(segments.select("id", "document_id", "parent_id", "content", *fields), "id").join(parents, ["parent_id", *fields], "left")
-    context = F.when(F.col("__parent").isNotNull(), F.col("parent_id")).otherwise(F.col("id"))
+    parents = segments.where(~F.col("deleted") & (F.col("status") == "completed") & (F.col("index_type") == "parent") & F.col("content").isNotNull()).select(F.col("id").alias("parent_id"), *fields, F.lit(True).alias("__parent"))
+    rows = ranked_rows.join(segments.select("id", "document_id", "parent_id", *fields), "id").join(parents, ["parent_id", *fields], "left")
+    context = F.when(F.col("__parent"), F.col("parent_id")).otherwise(F.col("id"))
     first = F.row_number().over(Window.partitionBy("context_id").orderBy("after_rank"))
     best = rows.withColumn("context_id", context).withColumn("__first", first).where(F.col("__first") == 1)
-    shown = best.orderBy("after_rank").limit(top_k)
-    return shown.select("id", "document_id", "parent_id", F.coalesce("__parent", "content").alias("content"), result_score(F.col("score")).alias("score"), "match_type", "after_rank")
+    # contents are whole texts: only those of the top_k contexts are joined
+    shown = F.broadcast(best.orderBy("after_rank").limit(top_k)).join(segments.select(F.col("id").alias("context_id"), "content"), "context_id")
+    return shown.select("id", "document_id", "parent_id", "content", result_score(F.col("score")).alias("score"), "match_type", "after_rank").orderBy("after_rank")
 
 
 def retrieve(segments: DataFrame, documents: DataFrame, indexes: DataFrame, datasets: DataFrame, options: Options, semantic: DataFrame | None = None, query_terms: list[str] | None = None, graph: DataFrame | None = None, rerank: DataFrame | None = None) -> DataFrame:

@@ -67,7 +67,7 @@ def _documents(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     )
     k = F.col("doc_id")
     segs = d.select(
-        k.alias("id"), k.alias("document_id"), F.lit(1).cast("long").alias("dataset_id"), F.lit(1).cast("long").alias("dataset_index_id"), F.when(k % 5 > 0, k - k % 5).alias("parent_id"), F.substring("text", 1, 40).alias("content"),
+        k.alias("id"), k.alias("document_id"), F.lit(1).cast("long").alias("dataset_id"), F.lit(1).cast("long").alias("dataset_index_id"), F.when(k % 5 > 0, k - k % 5).alias("parent_id"), F.col("text").alias("content"),
         K.ranked_terms(F.col("text")).alias("keywords"), F.when(k % 5 == 0, "parent").otherwise("child").alias("index_type"), F.when(k % 35 == 0, "indexing").otherwise("completed").alias("status"), F.lit(False).alias("deleted"),
     )
     one = spark.range(1)
@@ -109,14 +109,28 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("id", F.when(F.col("parent_id").isNotNull() & (F.col("parent_id") % 35 != 0), F.col("parent_id")).otherwise(F.col("id")).alias("context_id"), "score", "match_type", "content")
 
 
-@query("r2_full_text", f"""WITH {RETRIEVAL_CTES}, fused AS (SELECT kw.id, kw.score / (SELECT max(score) FROM kw) AS score, 'keyword' AS match_type FROM kw JOIN shown USING (id))
+def retrieval_query(name: str, sql: str):
+    """Register name, whose SQL shows the first 40 characters of each content, and name_whole with the whole of it."""
+
+    def register(whole):
+        def preview(spark, sf):
+            return whole(spark, sf).withColumn("content", F.substring("content", 1, 40))
+
+        query(name, sql)(preview)
+        query(f"{name}_whole", sql.replace("substr(d.text, 1, 40) AS content", "d.text AS content"))(whole)
+        return whole
+
+    return register
+
+
+@retrieval_query("r2_full_text", f"""WITH {RETRIEVAL_CTES}, fused AS (SELECT kw.id, kw.score / (SELECT max(score) FROM kw) AS score, 'keyword' AS match_type FROM kw JOIN shown USING (id))
   {CONTEXT_SQL.format(t=0.3, rank="before_rank")}""")
 def r2(spark, sf):
     options = R.Options("full_text", 10)
     return _shown(R.retrieve(*_documents(spark, sf), options, query_terms=_query_terms(spark, sf)))
 
 
-@query("r1_o1_o2_vector", f"""WITH {RETRIEVAL_CTES}, fused AS (SELECT sem.id, sem.score, 'vector' AS match_type FROM sem JOIN shown USING (id)) {CONTEXT_SQL.format(t=0.05, rank="before_rank")}""")
+@retrieval_query("r1_o1_o2_vector", f"""WITH {RETRIEVAL_CTES}, fused AS (SELECT sem.id, sem.score, 'vector' AS match_type FROM sem JOIN shown USING (id)) {CONTEXT_SQL.format(t=0.05, rank="before_rank")}""")
 def r1(spark, sf):
     options = R.Options("vector", 10, 0.05)
     return _shown(R.retrieve(*_documents(spark, sf), options, _vectors(spark, sf, options)))
@@ -126,13 +140,13 @@ HYBRID_SQL = f"""WITH {RETRIEVAL_CTES}, both_hits AS (SELECT coalesce(sem.id, kw
   fused AS (SELECT id, 0.7 * s + 0.3 * k AS score, CASE WHEN s <> 0 AND k <> 0 THEN 'hybrid' WHEN s <> 0 THEN 'vector' ELSE 'keyword' END AS match_type FROM both_hits JOIN shown USING (id))"""
 
 
-@query("r3_j4_hybrid", HYBRID_SQL + CONTEXT_SQL.format(t=0.05, rank="before_rank"))
+@retrieval_query("r3_j4_hybrid", HYBRID_SQL + CONTEXT_SQL.format(t=0.05, rank="before_rank"))
 def r3(spark, sf):
     options = R.Options("hybrid", 10, 0.05)
     return _shown(R.retrieve(*_documents(spark, sf), options, _vectors(spark, sf, options), _query_terms(spark, sf)))
 
 
-@query("r5_o13_rerank", HYBRID_SQL + CONTEXT_SQL.format(t=0.05, rank="(id * 7) % 101 DESC, before_rank"))
+@retrieval_query("r5_o13_rerank", HYBRID_SQL + CONTEXT_SQL.format(t=0.05, rank="(id * 7) % 101 DESC, before_rank"))
 def r5(spark, sf):
     options = R.Options("hybrid", 10, 0.05)
     tables = _documents(spark, sf)
@@ -152,7 +166,7 @@ def w3(spark, sf):
     return out.select("id", F.col("before_rank").cast("long").alias("before_rank"), F.col("after_rank").cast("long").alias("after_rank"), V.result_score(F.col("score")).alias("score"))
 
 
-@query("r6_w2_o4_context", f"""WITH {RETRIEVAL_CTES}, fused AS (SELECT id, 1.0 / (1 + id % 97) AS score, 'graph' AS match_type FROM shown) {CONTEXT_SQL.format(t=0.0, rank="before_rank")}""")
+@retrieval_query("r6_w2_o4_context", f"""WITH {RETRIEVAL_CTES}, fused AS (SELECT id, 1.0 / (1 + id % 97) AS score, 'graph' AS match_type FROM shown) {CONTEXT_SQL.format(t=0.0, rank="before_rank")}""")
 def r6(spark, sf):
     segs, docs, indexes, datasets = _documents(spark, sf)
     graph = segs.select("id", (1 / (1 + F.col("id") % 97)).alias("score"))

@@ -21,3 +21,11 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["id", "context_id", "score", "match_type", "content"]
+
+
+def test_entry_returns_whole_contents(spark):
+    import __spark_entry__ as e
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    rows = e.entry(spark).collect()
+    assert rows and all(r.content == texts[r.context_id] for r in rows) and any(len(r.content) > 40 for r in rows)
