@@ -1,4 +1,4 @@
-"""Injected models with offline stand-ins: embeddings, reranking, extraction, OCR."""
+"""Injected models with offline stand-ins: embeddings and reranking."""
 
 from __future__ import annotations
 
