@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 #: ASCII white space and the word it delimits (Java and RE2 syntax alike).
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the cluster names no shared folder (tests, a laptop).
-FALLBACK_SCRATCH = "/tmp/checkpoints"
+#: A side of a join is broadcast up to so many narrow rows (some 40 bytes each).
+BROADCAST_ROWS = 1_000_000
+_OWN_SCRATCH: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where Spark is local, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _OWN_SCRATCH:
+        _OWN_SCRATCH.append(tempfile.mkdtemp(prefix="spark-"))
+    return _OWN_SCRATCH[0]
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder that the cluster names in spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SCRATCH
-    return f"{root.rstrip('/')}/marlstone/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared folder."""
+    return f"{shared_root(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +45,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Delete tables of materialize() that no later step reads."""
+    for df in written:
+        hadoop = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(hadoop).delete(folder, True)
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint where a count shows that it is small; else the join shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text (null as empty), as two longs."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has (names differ by case alone nowhere)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, even where body uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]
