@@ -1,9 +1,9 @@
 """WARC archives with per-record Zstandard compression and an embedded dictionary.
 
-Every partition writes one .warc.zst file. Its dictionary is trained on the first records
+Every partition writes one .warc.zst file. Its dictionary is built from the first records
 of the partition (SAMPLE_BYTES at most) and stands in a leading skippable frame, so that
 any record can be decompressed on its own; all records are then compressed one
-by one. A file is written under a name of its task attempt and renamed when whole, so a lost
+by one. Where the records are too few or too different to train on, the dictionary is their raw content. A file is written under a name of its task attempt and renamed when whole, so a lost
 executor or a second attempt leaves no half file under the final name. The folder may lie in
 any file system that pyarrow can open by URI.
 
@@ -11,7 +11,9 @@ Equal payloads of at least REVISIT_BYTES are stored once, at the largest page_id
 others become revisit records. Defined cases: null html is an empty payload; null url is
 the empty target; rows with a null page_id keep it; rows repeated with one page_id
 are all written, as responses where that page_id is the response; an empty table
-writes no file. Payloads are written whole.
+writes no file; other columns are ignored, whatever their names. Payloads are written whole, however long.
+Reading raises ValueError for an archive that is cut anywhere, holds another number of records than its
+manifest says, or a payload that differs from its digest.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..shipping import ship_package
+from .common import broadcast_if_small, materialize
 
 #: Fixed values of the formats.
 DICT_FRAME_MAGIC = 0x184D2A5D
@@ -36,6 +38,8 @@ DATE = "2024-01-01T00:00:00Z"
 
 REVISIT_BYTES = 1000
 SAMPLE_BYTES, DICT_BYTES, LEAST_SAMPLES = 2_000_000, 32_768, 16
+#: Parts of each digest's rows where the table of repeated digests is too large to broadcast.
+SALTS = 32
 READ_COLUMNS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -69,17 +73,31 @@ def parse_record(data: bytes) -> dict:
     return fields
 
 
-def train_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from archived records; empty when there are too few of them."""
+def build_dictionary(records: list[bytes]) -> bytes:
+    """A dictionary from archived records: trained, or the first bytes of their raw content."""
     import zstandard
 
+    raw = b"".join(r[: DICT_BYTES // len(records) + 64] for r in records)[:DICT_BYTES]
     if len(records) < LEAST_SAMPLES:
-        return b""
+        return raw
     size = min(DICT_BYTES, sum(map(len, records)) // 10)
     try:
         return zstandard.train_dictionary(max(size, 1024), [r[:65536] for r in records]).as_bytes()
     except zstandard.ZstdError:  # nothing in common
-        return b""
+        return raw
+
+
+def _with_response(rows: DataFrame, large: Column) -> DataFrame:
+    """rows plus response: the largest page_id of a large payload's digest, where several rows have it."""
+    # only digests that occur twice reach the join
+    repeated = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(repeated.select("digest", "response"), "warc-copies")
+    small = broadcast_if_small(repeated)
+    if small is not repeated:
+        return rows.join(small, "digest", "left")
+    # one payload may hold a large share of the pages: its rows are dealt to SALTS tasks
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return salted.join(repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"], "left").drop("salt")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -88,9 +106,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("html"), F.sha1(payload).alias("digest"))
     large = F.octet_length("html") >= REVISIT_BYTES
-    # only digests that occur twice reach the join
-    kept = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(kept.select("digest", "response"), "digest", "left")
+    joined = _with_response(rows, large)
     refers = F.when(large & (F.col("response") != F.col("page_id")), F.col("response"))
     todo = joined.select("page_id", "url", "digest", F.octet_length("html").cast("long").alias("size"), F.when(refers.isNull(), F.col("html")).alias("html"), refers.alias("refers_to"))
 
@@ -119,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 break
         if not sample:
             return
-        words = train_dictionary(sample)
+        words = build_dictionary(sample)
         fs.create_dir(base, recursive=True)
         with fs.open_output_stream(own, compression=None) as out:
 
@@ -127,10 +143,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 out.write(data)
                 state["bytes"] += len(data)
 
-            if words:
-                put(struct.pack("<II", DICT_FRAME_MAGIC, len(words)) + words)
-            known = zstandard.ZstdCompressionDict(words) if words else None
-            packer = zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=True)
+            put(struct.pack("<II", DICT_FRAME_MAGIC, len(words)) + words)
+            packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_checksum=True)
             for part in (sample, source):
                 for r in part:
                     put(packer.compress(r))
@@ -148,10 +162,14 @@ def iterate_archive(stream) -> Iterator[dict]:
     data, known = stream, None
     head = data.read(8)
     if len(head) == 8 and struct.unpack("<II", head)[0] == DICT_FRAME_MAGIC:
-        known, head = zstandard.ZstdCompressionDict(data.read(struct.unpack("<II", head)[1])), b""
+        size = struct.unpack("<II", head)[1]
+        words, head = data.read(size), b""
+        if len(words) < size:
+            raise ValueError("the archive ends inside its dictionary")
+        known = zstandard.ZstdCompressionDict(words)
     unpacker, buffer, ended = zstandard.ZstdDecompressor(dict_data=known), head, False
     while not ended or buffer:
-        frame, out = unpacker.decompressobj(), io.BytesIO()
+        frame, out, fed = unpacker.decompressobj(), io.BytesIO(), False
         while not frame.eof:
             if not buffer:
                 buffer = data.read(1 << 20)
@@ -159,9 +177,10 @@ def iterate_archive(stream) -> Iterator[dict]:
                     ended = True
                     break
             out.write(frame.decompress(buffer))
+            fed = True
             buffer = frame.unused_data if frame.eof else b""
         if not frame.eof:
-            if out.getbuffer().nbytes:
+            if fed:
                 raise ValueError("the archive ends inside a record")
             return
         yield parse_record(out.getvalue())
@@ -178,11 +197,12 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, with_pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open_folder(folder)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, expected in zip(batch.column("file").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 rows: list[tuple] = []
-                size = 0
+                size = seen = 0
                 with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for r in iterate_archive(stream):
+                        seen += 1
                         kind, digest = r["warc-type"], r["warc-payload-digest"].removeprefix("sha1:")
                         payload = r["block"].partition(b"\r\n\r\n")[2] if kind == "response" else None
                         if payload is not None and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(r["warc-payload-length"])):
@@ -192,10 +212,12 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, with_pa
                         if size > 4_000_000 or len(rows) >= 10_000:
                             yield _batch(rows)
                             rows, size = [], 0
+                if seen != expected:
+                    raise ValueError(f"{name}: {seen} records, the manifest has {expected}")
                 if rows:
                     yield _batch(rows)
 
-    return manifest.select("file").mapInArrow(run, READ_COLUMNS)
+    return manifest.select("file", "records").mapInArrow(run, READ_COLUMNS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
