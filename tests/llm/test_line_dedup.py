@@ -21,3 +21,25 @@ def test_repeated_rows_and_empty_table(spark):
     got = line_dedup.drop_boilerplate(df).collect()
     assert len(got) == 9 and sum(r.text == "common\nrest" for r in got) == 6
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_split_hosts_give_the_same(spark, prose, monkeypatch):
+    rows = [(k, ("big", "big", "big", None, f"s{k % 7}")[k % 5], f"{prose(k, 6)}\nFollow us\n{prose(k + 900, 5)}" if k % 2 else prose(k, 7)) for k in range(300)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, source string, text string, host int, bad int, cleaned int")
+    plain = sorted(map(tuple, line_dedup.drop_boilerplate(df).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(line_dedup, "HOT_HOSTS", 4)
+    assert sorted(map(tuple, line_dedup.drop_boilerplate(df).collect())) == plain and sum(r[-1] for r in plain) > 100
+    assert all(r[3:6] == (1, 2, 3) for r in plain)
+
+
+def test_pages_of_boilerplate_alone_can_be_emptied(spark):
+    df = spark.createDataFrame([(k, "s", "common\nown" + str(k) if k else "common") for k in range(8)], "doc_id long, source string, text string")
+    assert {r.text for r in line_dedup.drop_boilerplate(df).where("doc_id = 0").collect()} == {"common"}
+    assert {(r.text, r.n_lines_dropped) for r in line_dedup.drop_boilerplate(df, keep_whole=False).where("doc_id = 0").collect()} == {("", 1)}
+
+
+def test_very_long_page(spark):
+    text = "\n".join(f"line {k}" for k in range(50_000))
+    df = spark.createDataFrame([(k, "s", "shared\n" + (text if k == 0 else f"x{k}")) for k in range(6)], "doc_id long, source string, text string")
+    assert {r.doc_id: r.n_lines_dropped for r in line_dedup.drop_boilerplate(df).collect()} == dict.fromkeys(range(6), 1)
