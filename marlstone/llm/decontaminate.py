@@ -7,12 +7,14 @@ document is hashed at every seed width in use and joined with the seeds. Each hi
 diagonal (document offset minus item offset); along it the whole item is compared with the
 document, word by word, and the pair is reported when enough words agree. So every
 alignment with enough agreeing words is found, whatever the item's length, down to one
-word. Windows travel inside the hit row, so texts are never shuffled.
+word.
 
-The benchmark side is broadcast only after its size is checked; beyond the bound Catalyst
-joins by shuffle. Defined cases: null or empty texts have no hits; a document's end counts
+The benchmark side is broadcast only after its size is checked; texts are not shuffled then. Beyond the bound
+seeds alone are shuffled (a very common seed is split by adaptive execution), and the texts that have hits
+are joined back. Defined cases: null or empty texts have no hits; a document's end counts
 as substitutions of the words beyond it; at least one word must agree; rows repeated in either
-table give one row for each distinct (doc_id, item_id); extra columns are ignored.
+table give one row for each distinct (doc_id, item_id), the best alignment of all texts of that id; a null id is an id;
+empty tables give an empty result; texts are used whole, however long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize, text_key
 
 #: Seeds are the first words of a block, so many at most: bounds the widths hashed at a position.
 WIDEST = 5
@@ -56,38 +58,56 @@ def _item_seeds(items: DataFrame, min_match: float) -> DataFrame:
 
 
 def _seeded(df: DataFrame, widths: list[int], *keep: str) -> DataFrame:
-    """keep, h, i, seed: a row for each width and position, in one pass over each row's words."""
+    """keep, i, seed: a row for each width and position, in one pass over each row's words."""
     at = df.select(*keep, "h", F.explode(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))).alias("i"))
     seeds = F.array(*[_seed(F.col("h"), F.col("i"), w) for w in widths])
-    return at.select(*keep, "h", "i", F.explode(seeds).alias("seed"))
+    return at.select(*keep, "i", F.explode(seeds).alias("seed"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: float = 0.8, text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, matched_words, item_words, doc_offset of the best alignment of each leaking pair."""
+_ROW = ["doc_id", "key", "key2"]
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, min_match: float, text_col: str) -> DataFrame:
+    """doc_id, key, key2 (the text's), item_id, item_words, doc_offset, matched_words of every alignment with enough agreeing words."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).withColumn("item_key", F.xxhash64("h"))
     items = materialize(items.dropDuplicates(["item_id", "item_key"]), "benchmark-words")
     keys = materialize(_item_seeds(items, min_match), "benchmark-seeds")
     widths = sorted(r["width"] for r in keys.select("width").distinct().collect()) or [1]  # at most WIDEST rows
     keys = keys.drop("width")
     bodies = items.select("item_id", "item_key", F.col("h").alias("item_h"))
+    key, key2 = text_key(F.col(text_col))
+    worded = docs.select("doc_id", key.alias("key"), key2.alias("key2"), word_hashes(F.col(text_col)).alias("h"))
+    diagonal = (F.col("i") - F.col("j")).alias("diagonal")
     if items.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
-        keys, bodies = F.broadcast(keys), F.broadcast(bodies)
-    hits = _seeded(docs.select("doc_id", word_hashes(F.col(text_col)).alias("h")), widths, "doc_id").join(keys, "seed")
+        hits = _seeded(worded, widths, *_ROW, "h").join(F.broadcast(keys), "seed").select(*_ROW, "h", "item_id", "item_key", "item_words", diagonal)
+        bodies = F.broadcast(bodies)
+    else:
+        hits = _seeded(worded, widths, *_ROW).join(keys, "seed").select(*_ROW, "item_id", "item_key", "item_words", diagonal).distinct()
+        hits = materialize(hits, "benchmark-hits")
+        of = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"]) & (a["key2"] == b["key2"])
+        hit_rows = broadcast_if_small(hits.select(*_ROW).distinct())
+        texts = worded.join(hit_rows, of(worded, hit_rows), "left_semi").dropDuplicates(_ROW)
+        hits = hits.join(texts, of(hits, texts)).select(*[hits[c] for c in hits.columns], texts["h"])
     # the item's stretch of the document, cut at the document's ends
-    diagonal = F.col("i") - F.col("j")
-    stretch = F.slice("h", F.greatest(F.lit(1), diagonal + 1), F.col("item_words") + F.least(F.lit(0), diagonal))
-    hits = hits.select("doc_id", "item_id", "item_key", "item_words", diagonal.alias("diagonal"), stretch.alias("stretch"))
-    aligned = hits.join(bodies, ["item_id", "item_key"])
+    stretch = F.slice("h", F.greatest(F.lit(1), F.col("diagonal") + 1), F.col("item_words") + F.least(F.lit(0), F.col("diagonal")))
+    aligned = hits.select(*_ROW, "item_id", "item_key", "item_words", "diagonal", stretch.alias("stretch")).join(bodies, ["item_id", "item_key"])
     skipped = F.greatest(F.lit(0), -F.col("diagonal"))
     agree = F.zip_with("stretch", F.slice("item_h", skipped + 1, F.size("stretch")), lambda a, b: a.eqNullSafe(b))
-    scored = aligned.select("doc_id", "item_id", "item_words", F.col("diagonal").alias("doc_offset"), F.size(F.filter(agree, lambda x: x)).alias("matched_words"))
-    scored = scored.where(F.col("matched_words") >= _needed(F.col("item_words"), min_match))
+    scored = aligned.select(*_ROW, "item_id", "item_words", F.col("diagonal").alias("doc_offset"), F.size(F.filter(agree, lambda x: x)).alias("matched_words"))
+    return scored.where(F.col("matched_words") >= _needed(F.col("item_words"), min_match))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: float = 0.8, text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, matched_words, item_words, doc_offset of the best alignment of each leaking pair."""
+    scored = _matches(docs, benchmark, min_match, text_col)
     best = F.max_by(F.struct("matched_words", "item_words", "doc_offset"), F.struct("matched_words", -F.col("doc_offset")))
     found = scored.groupBy("doc_id", "item_id").agg(best.alias("b"))
     return found.select("doc_id", "item_id", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("matched_words", "item_words", "doc_offset")])
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_match: float = 0.8) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    leaks = find_leaks(docs, benchmark, min_match).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_match: float = 0.8, text_col: str = "text") -> DataFrame:
+    """docs without those that hold a benchmark item: judged by their text alone, whatever their doc_id."""
+    leaks = materialize(_matches(docs, benchmark, min_match, text_col).select(F.col("key").alias("k"), F.col("key2").alias("k2")).distinct(), "benchmark-leaks")
+    leaks = broadcast_if_small(leaks)
+    key, key2 = text_key(F.col(text_col))
+    return docs.join(leaks, (key == leaks["k"]) & (key2 == leaks["k2"]), "left_anti")

@@ -75,3 +75,26 @@ def test_seeds_follow_the_threshold(spark, prose):
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     found = {m: sorted(r.doc_id for r in d.find_leaks(docs, bench, m).collect()) for m in (0.5, 1.0)}
     assert found == {0.5: [1, 2], 1.0: [2]}
+
+
+def test_ids_that_repeat_with_other_texts(spark, prose, monkeypatch):
+    item = prose(77, 30)
+    rows = [(7, f"{item} tail"), (7, " ".join(item.split()[:12])), (None, f"x {item}"), (None, prose(3, 40)), (8, None), (None, None)]
+    bench = spark.createDataFrame([(5, item), (5, prose(6, 20)), (None, prose(9, 20)), (6, "")], "item_id long, text string")
+    for bound in (d.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(d, "BROADCAST_ROWS", bound)
+        for order in (1, -1):
+            docs = spark.createDataFrame(rows[::order], "doc_id long, text string").repartition(2)
+            found = {(r.doc_id, r.item_id, r.matched_words, r.doc_offset) for r in d.find_leaks(docs, bench).collect()}
+            assert found == {(7, 5, 30, 0), (None, 5, 30, 1)}
+            kept = [(r.doc_id, r.text) for r in d.drop_leaks(docs, bench).collect()]
+            assert sorted(kept, key=repr) == sorted([(7, " ".join(item.split()[:12])), (None, rows[3][1]), (8, None), (None, None)], key=repr)
+
+
+def test_very_long_text_and_clashing_columns(spark, prose):
+    item = prose(5, 25)
+    long = f"{prose(1, 60_000)} {item} {prose(2, 60_000)}"
+    docs = spark.createDataFrame([(1, long, 0, 0, 0)], "doc_id long, text string, h int, key int, item_id int")
+    bench = spark.createDataFrame([(9, item, 1)], "item_id long, text string, doc_id int")
+    assert [(r.doc_id, r.item_id, r.doc_offset) for r in d.find_leaks(docs, bench).collect()] == [(1, 9, 60_000)]
+    assert d.drop_leaks(docs, bench).count() == 0
