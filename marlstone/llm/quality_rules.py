@@ -11,7 +11,8 @@ one with the best trade of bad against good rejections is used; with none, the r
 
 Defined cases: null or empty text has no words and fails the base rule; a null stratum is
 the stratum ''; null or missing labels take no part; several labels of one document count
-once (the lowest); with no labels every learnt rule is off. Texts are used whole.
+once (the lowest); with no labels every learnt rule is off; empty tables give empty results; other columns are
+kept, whatever their names. Texts are used whole, however long.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, words_of
+from .common import WORD, fresh, let, words_of
 
 #: Fixed values of the base measures.
 SYMBOLS = "#*$%&|<>"
@@ -78,6 +79,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     keep = [c for c in docs.columns if c not in {*GRIDS, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"}]
 
+    w, li = fresh("words", docs), fresh("lines", docs)
+
     def gathered(words: Column) -> Column:
         of_hashes = lambda h: F.struct(F.size(F.array_distinct(h)).alias("d"), _covered_words(h).alias("r"))
         return F.struct(
@@ -90,40 +93,60 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("d")))
     out = docs.select(
         *keep,
-        let(words_of(text), gathered).alias("__w"),
-        line_counts.alias("__l"),
+        let(words_of(text), gathered).alias(w),
+        line_counts.alias(li),
         F.when(text.rlike(f"[{SYMBOLS}]"), F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).otherwise(F.lit(0)).cast("long").alias("n_symbols"),
     )
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     out = out.select(
         *keep,
-        F.col("__w.n_words").alias("n_words"),
-        F.col("__w.word_chars").alias("word_chars"),
+        F.col(f"{w}.n_words").alias("n_words"),
+        F.col(f"{w}.word_chars").alias("word_chars"),
         "n_symbols",
-        (F.col("__l.n") - F.col("__l.d")).alias("n_dup_lines"),
-        F.col("__w.h.r").cast("long").alias("n_repeat_words"),
-        ratio(F.col("n_symbols"), F.col("__w.n_words")).alias("symbol_ratio"),
-        ratio(F.col("__l.n") - F.col("__l.d"), F.col("__l.n")).alias("dup_line_ratio"),
-        ratio(F.col("__w.n_words") - F.col("__w.h.d"), F.col("__w.n_words")).alias("same_word_ratio"),
+        (F.col(f"{li}.n") - F.col(f"{li}.d")).alias("n_dup_lines"),
+        F.col(f"{w}.h.r").cast("long").alias("n_repeat_words"),
+        ratio(F.col("n_symbols"), F.col(f"{w}.n_words")).alias("symbol_ratio"),
+        ratio(F.col(f"{li}.n") - F.col(f"{li}.d"), F.col(f"{li}.n")).alias("dup_line_ratio"),
+        ratio(F.col(f"{w}.n_words") - F.col(f"{w}.h.d"), F.col(f"{w}.n_words")).alias("same_word_ratio"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """P(X <= k) of n draws at rate p, all terms included: the incomplete beta function by its continued fraction."""
+    if k >= n or p <= 0:
+        return 1.0
+    if k < 0 or p >= 1:
+        return 0.0
+    # P(X <= k) is I(1 - p; n - k, k + 1); the fraction converges fast on the near side of the mean
+    a, b, x = n - k, k + 1, 1 - p
+    swapped = x > (a + 1) / (a + b + 2)
+    if swapped:
+        a, b, x = b, a, p
+    front = math.exp(math.lgamma(n + 1) - math.lgamma(a) - math.lgamma(b) + a * (math.log(x) if swapped else math.log1p(-p)) + b * (math.log1p(-p) if swapped else math.log(p))) / a
+    least, value, c, d = 1e-300, 1.0, 1.0, 0.0
+    for m in range(1_000_000):
+        h = m // 2
+        term = 1.0 if m == 0 else h * (b - h) * x / ((a + 2 * h - 1) * (a + 2 * h)) if m % 2 == 0 else -(a + h) * (a + b + h) * x / ((a + 2 * h) * (a + 2 * h + 1))
+        d = 1 / ((1 + term * d) or least)
+        c = 1 + term / c if m else math.inf
+        c = c or least
+        value = d if m == 0 else value * c * d
+        if m and abs(c * d - 1) < 1e-15:
+            break
+    tail = front * value
+    return min(1.0, max(0.0, 1 - tail if swapped else tail))
+
+
 def binomial_upper(k: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the rate p at which P(X <= k | n, p) = delta."""
     if n == 0 or k >= n:
         return 1.0
-
-    def below(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-        top = max(logs)
-        return math.exp(top) * math.fsum(math.exp(x - top) for x in logs)
-
-    low, high = max(k / n, 1e-12), 1 - 1e-12
+    low, high = k / n, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if below(mid) > delta else (low, mid)
+        low, high = (mid, high) if binomial_tail(k, n, mid) > delta else (low, mid)
     return high
 
 

@@ -1,3 +1,5 @@
+import math
+import random
 from collections import Counter
 
 from marlstone.llm import quality_rules as q
@@ -35,6 +37,52 @@ def test_binomial_bound():
     assert 0.05 < q.binomial_upper(5, 100, 0.05) < 0.12
 
 
+def test_binomial_tail_sums_all_terms():
+    from fractions import Fraction
+
+    for n, k in ((1, 0), (10, 3), (50, 49), (300, 7), (400, 200)):
+        for p in (Fraction(1, 100), Fraction(1, 3), Fraction(9, 10)):
+            exact = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+            assert abs(q.binomial_tail(k, n, float(p)) - float(exact)) <= 1e-9 * max(float(exact), 1e-9)
+    # far beyond 2,000 rejections: within the normal approximation
+    for n, k in ((1_000_000, 50_000), (50_000_000, 1_000_000)):
+        rate, z = k / n, 1.6448536
+        assert abs(q.binomial_upper(k, n, 0.05) - (rate + z * math.sqrt(rate * (1 - rate) / n))) < 0.02 * z * math.sqrt(rate * (1 - rate) / n) + 2 / n
+
+
+def test_calibration_matches_brute_force(spark, prose):
+    rng, rows, labels = random.Random(3), [], []
+    for k in range(900):
+        bad = rng.random() < 0.4
+        odd = rng.random() < (0.8 if bad else 0.01)
+        rows.append((k, ("en", "de", None)[k % 3], " ".join(w + ("%" if odd and rng.random() < 0.9 else "") for w in prose(k, 25).split())))
+        labels.append((k, int(not bad)))
+    m = q.measure(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    got = {(c.stratum, c.rule): c.cutoff for c in q.calibrate(m, spark.createDataFrame(labels, "doc_id long, quality int"), risk=0.2)}
+    data = {}
+    for r in m.collect():
+        if not r.base_failed:
+            data.setdefault(r.lang or "", []).append((labels[r.doc_id][1], r.asDict()))
+    expected, level = {}, 0.05 / (len(data) * len(q.GRIDS))
+    for stratum, own in data.items():
+        for rule, grid in q.GRIDS.items():
+            options, good, bad = [], [x for y, x in own if y], [x for y, x in own if not y]
+            for cut in grid:
+                false, hits = sum(x[rule] > cut for x in good), sum(x[rule] > cut for x in bad)
+                at = 0.2 / len(q.GRIDS)  # the bound is within the budget where so few rejections are this unlikely at the budget's rate
+                if sum(math.comb(len(good), i) * at**i * (1 - at) ** (len(good) - i) for i in range(false + 1)) > level:
+                    break
+                options.append((hits / len(bad) - 20 * false / len(good), cut))
+            if options and max(options)[0] > 0:
+                expected[stratum, rule] = max(options)[1]
+    assert got == expected and len(got) >= 2
+
+
+def test_columns_of_any_name_are_kept(spark):
+    got = q.measure(spark.createDataFrame([(1, "a b", 2, 3)], "doc_id long, text string, Words int, lines int")).first()
+    assert (got.doc_id, got.Words, got.lines, got.n_words) == (1, 2, 3, 2)
+
+
 def test_cutoffs_bound_false_rejections(spark, prose):
     rows, labels = [], []
     for k in range(1200):
