@@ -9,7 +9,8 @@ driver sees only these sums to choose splits. A finished model is a sum of CASE
 Training takes at most max_rows labelled rows (default 20,000, the first by hash), documented
 bound of the sample; scoring covers every row. Defined cases: a null url or one without ://
 has empty host and path, fits no rule and is judged by the model like any other text;
-repeated rows give repeated results; URLs are used whole.
+repeated rows give repeated results; an empty table gives an empty result; other columns are kept, whatever their
+names, but for those that judge() returns. URLs are used whole, however long.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, materialize
+from .common import ascii_lower, fresh, let, materialize
 
 #: The rules (host and path, verdict); the longest that fits wins.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -63,8 +64,16 @@ def _entropy(text: Column) -> Column:
     return F.when(F.length(text) > 0, let(F.split(text, ""), bits)).otherwise(F.lit(0.0))
 
 
+def feature_prefix(urls: DataFrame) -> str:
+    """The start of the feature columns' names, which no column of urls shares."""
+    prefix = "f_"
+    while any(c.lower().startswith(prefix) for c in urls.columns):
+        prefix += "_"
+    return prefix
+
+
 def features(urls: DataFrame, suffix_rates: dict[str, float], prior: float, url_col: str = "url") -> DataFrame:
-    """urls plus a column __f_<name> for each feature."""
+    """urls plus a column for each feature: its name behind feature_prefix(urls)."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     host, path = parts(F.col(url_col))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
@@ -85,7 +94,8 @@ def features(urls: DataFrame, suffix_rates: dict[str, float], prior: float, url_
         "longest_label": F.array_max(F.transform(labels, lambda x: F.length(x))),
         "suffix_rate": F.coalesce(rates, F.lit(prior)),
     }
-    return urls.withColumns({f"__f_{k}": v.cast("double") for k, v in columns.items()})
+    prefix = feature_prefix(urls)
+    return urls.withColumns({f"{prefix}{k}": v.cast("double") for k, v in columns.items()})
 
 
 @dataclass(frozen=True)
@@ -95,14 +105,14 @@ class Model:
     base: float
     trees: tuple  # of nested (feature, cut, left, right) or leaf values
 
-    def score(self) -> Column:
+    def score(self, prefix: str = "f_") -> Column:
         """Log odds of block over the feature columns."""
 
         def walk(node) -> Column:
             if isinstance(node, float):
                 return F.lit(node)
             name, cut, left, right = node
-            return F.when(F.col(f"__f_{name}") <= cut, walk(left)).otherwise(walk(right))
+            return F.when(F.col(f"{prefix}{name}") <= cut, walk(left)).otherwise(walk(right))
 
         total = F.lit(self.base)
         for tree in self.trees:
@@ -110,13 +120,17 @@ class Model:
         return total
 
 
-def labelled_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """url, label (1: block): a built-in labelled set, made by rule from small fixed word lists.
+#: Promotional words of the built-in labelled set.
+PROMO = ("cheap", "free", "casino", "spam", "ads", "win", "best", "hot", "buy", "click", "bonus", "loan", "bets", "pills", "track", "farm", "deals", "prize", "poker", "meds", "cash", "slots")
+
+
+def labelled_urls(spark: SparkSession, n: int = 6000, start: int = 0, promo: tuple[str, ...] = PROMO) -> DataFrame:
+    """url, label (1: block): rows start to start + n of a built-in labelled set, made by rule from small fixed word lists.
 
     Advertising, gambling and spam hosts join promotional words, mostly with hyphens or
     digits; ordinary hosts are pronounceable names, few of them with hyphens or digits. Paths, languages and parameters are mixed alike.
+    It stands in where no labelled table is at hand; train() takes any table of url and label.
     """
-    promo = ["cheap", "free", "casino", "spam", "ads", "win", "best", "hot", "buy", "click", "bonus", "loan", "bets", "pills", "track", "farm", "deals", "prize", "poker", "meds", "cash", "slots"]
     sounds = ["an", "ber", "ca", "do", "el", "fi", "gra", "ho", "in", "ka", "lo", "mer", "no", "or", "pe", "qui", "ra", "son", "ti", "tion", "th", "und", "ver", "wa", "ing", "ou"]
     tails = ["", "", ".html", "/", "?page=2&ref=x", "?utm_source=feed", "#top", "?id=7&cat=3&sort=asc", "/index.php", "/2019/05/news"]
     pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
@@ -126,7 +140,7 @@ def labelled_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
     host = F.concat(pick(["", "www.", "blog.", "m.", ""], "i"), F.when(bad, bad_host).otherwise(good_host), pick([".example", ".example", "", ".co"], "j"), F.lit("."), pick(["com", "org", "net", "info", "de"], "k"))
     number = F.pmod(F.xxhash64("id", F.lit("n")), F.lit(10_000)).cast("string")
     url = F.concat(pick(["http://", "https://"], "s"), host, F.lit("/"), pick(["en/", "de/", "fr/", "es/", ""], "l"), number, pick(tails, "t"))
-    return spark.range(n).select(url.alias("url"), bad.cast("int").alias("label"))
+    return spark.range(start, start + n).select(url.alias("url"), bad.cast("int").alias("label"))
 
 
 def train(labelled: DataFrame, trees: int = 10, depth: int = 3, rate: float = 0.4, least: int = 8, max_rows: int = 20_000) -> Model:
@@ -140,10 +154,10 @@ def train(labelled: DataFrame, trees: int = 10, depth: int = 3, rate: float = 0.
     prior = (sum(r["bad"] for r in by_suffix) + 1) / (total + 2)
     rates = {r["s"]: (r["bad"] + 20 * prior) / (r["n"] + 20) for r in by_suffix}
     table = features(rows, rates, prior)
-    quantiles = table.agg(*[F.percentile_approx(f"__f_{f}", [k / BINS for k in range(1, BINS)], 1000).alias(f) for f in FEATURES]).first()
+    quantiles = table.agg(*[F.percentile_approx(f"f_{f}", [k / BINS for k in range(1, BINS)], 1000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(quantiles[f] or [])) for f in FEATURES}
-    binned = [F.struct(F.lit(f).alias("f"), F.array_position(F.array(*[F.col(f"__f_{f}") <= c for c in cuts[f]], F.lit(True)), F.lit(True)).cast("int").alias("b")) for f in FEATURES]
-    table = materialize(table.select("label", *[f"__f_{f}" for f in FEATURES], F.array(*binned).alias("bins")), "url-bins")
+    binned = [F.struct(F.lit(f).alias("f"), F.array_position(F.array(*[F.col(f"f_{f}") <= c for c in cuts[f]], F.lit(True)), F.lit(True)).cast("int").alias("b")) for f in FEATURES]
+    table = materialize(table.select("label", *[f"f_{f}" for f in FEATURES], F.array(*binned).alias("bins")), "url-bins")
     base = math.log(prior / (1 - prior))
     model = Model(prior, rates, base, ())
     for _ in range(trees):
@@ -156,7 +170,7 @@ def train(labelled: DataFrame, trees: int = 10, depth: int = 3, rate: float = 0.
             if splits:
                 for path in sorted(splits, key=len):
                     f, cut = splits[path]
-                    node = F.when(node == path, F.concat(F.lit(path), F.when(F.col(f"__f_{f}") <= cut, F.lit("0")).otherwise(F.lit("1")))).otherwise(node)
+                    node = F.when(node == path, F.concat(F.lit(path), F.when(F.col(f"f_{f}") <= cut, F.lit("0")).otherwise(F.lit("1")))).otherwise(node)
             p = 1 / (1 + F.exp(-model.score()))
             graded = table.select(node.alias("node"), (F.col("label") - p).alias("g"), (p * (1 - p)).alias("h"), "bins")
             if d == depth:
@@ -211,9 +225,12 @@ def default_model(spark: SparkSession) -> Model:
 def judge(pages: DataFrame, rules=RULES, model: Model | None = None, url_col: str = "url", level: float = 0.5) -> DataFrame:
     """pages plus host, path, rule, verdict and block_probability (columns of these names are replaced)."""
     model = model or default_model(pages.sparkSession)
-    keep = [c for c in pages.columns if c not in {"host", "path", "rule", "verdict", "block_probability", "__rule"}]
+    keep = [c for c in pages.columns if c not in {"host", "path", "rule", "verdict", "block_probability"}]
     host, path = parts(F.col(url_col))
-    out = features(pages.select(*keep), model.suffix_rates, model.prior, url_col).withColumns({"host": host, "path": path})
-    out = out.withColumns({"block_probability": 1 / (1 + F.exp(-model.score())), "__rule": fitting_rule(F.col("host"), F.col("path"), rules)})
+    given = pages.select(*keep)
+    fits = fresh("rule", given)
+    out = features(given, model.suffix_rates, model.prior, url_col)
+    out = out.select(*keep, host.alias("host"), path.alias("path"), (1 / (1 + F.exp(-model.score(feature_prefix(given))))).alias("block_probability"))
+    out = out.withColumn(fits, fitting_rule(F.col("host"), F.col("path"), rules))
     learnt = F.when(F.col("block_probability") >= level, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select(*keep, "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.verdict"), learnt).alias("verdict"), "block_probability")
+    return out.select(*keep, "host", "path", F.col(f"{fits}.rule").alias("rule"), F.coalesce(F.col(f"{fits}.verdict"), learnt).alias("verdict"), "block_probability")

@@ -29,14 +29,28 @@ def test_hosts_paths_and_rules(spark):
 
 
 def test_held_out_accuracy(spark):
-    held = u.labelled_urls(spark, 10_000).where("true").withColumn("page_id", u.F.monotonically_increasing_id()).where("page_id % 2 = 0")
-    model = u.train(u.labelled_urls(spark, 4000))
+    """Held-out URLs share neither rows nor promotional words with those of training."""
+    model = u.train(u.labelled_urls(spark, 4000, promo=u.PROMO[::2]))
     assert len(model.trees) > 3
-    held = held.withColumn("url", u.F.concat("url", u.F.lit("x")))  # not one url of the training set
+    held = u.labelled_urls(spark, 5000, 100_000, ("jackpot", "dating", "coupon", "lotto", "promo", "sale", "viagra", "gratis", "sexy", "mega"))
+    held = held.withColumn("page_id", u.F.monotonically_increasing_id())
     right = u.judge(held, rules=(), model=model).select(((u.F.col("verdict") == "block") == (u.F.col("label") == 1)).alias("ok"))
     assert right.agg(u.F.avg(u.F.col("ok").cast("int"))).first()[0] > 0.9
 
 
+def test_model_follows_the_given_labels(spark):
+    """A labelled table of another kind: deep paths with many digits are blocked."""
+    make = lambda lo, hi: spark.range(lo, hi).select(u.F.when(u.F.col("id") % 2 == 0, u.F.concat(u.F.lit("http://site.org/a/"), u.F.col("id") * 7919, u.F.lit("/"), u.F.col("id") * 104729, u.F.lit("/x"))).otherwise(u.F.concat(u.F.lit("http://site.org/about"), u.F.chr(97 + u.F.col("id") % 26))).alias("url"), (1 - u.F.col("id") % 2).alias("label"))
+    model = u.train(make(0, 1000))
+    got = u.judge(make(5000, 5400), rules=(), model=model).collect()
+    assert all((r.verdict == "block") == (r.label == 1) for r in got)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([(1, "http://a.example/x", 5, 6, 7)], "page_id long, url string, f_length int, F_depth int, rule_ int")
+    assert [tuple(r)[:5] for r in u.judge(df).collect()] == [(1, "http://a.example/x", 5, 6, 7)]
+
+
 def test_training_edges(spark):
     none = spark.createDataFrame([], "url string, label int")
     model = u.train(none)
