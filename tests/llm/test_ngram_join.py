@@ -70,6 +70,52 @@ def test_large_buckets_and_leaders(spark, monkeypatch):
     check(spark, corpus(5), 2)
 
 
+def test_heavily_edited_copies_in_parted_buckets(spark, monkeypatch):
+    """Groups whose members link only with some others: leaders, blocks and both later rounds, at all sketch lengths."""
+    monkeypatch.setattr(nj, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(nj, "CHUNK_LEAST", 2)
+    monkeypatch.setattr(nj, "SALT_ROWS", 10)
+    monkeypatch.setattr(nj, "BLOCK", 8)
+    rng, texts = random.Random(21), []
+    for size, copies, changes in ((60, 40, 3), (900, 50, 30), (2500, 30, 70)):
+        base = [f"v{rng.randrange(5000)}" for _ in range(size)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rng.randint(0, changes)):
+                w[rng.randrange(size)] = f"v{rng.randrange(5000)}"
+            texts.append(" ".join(w))
+    check(spark, texts, 4)
+
+
+def test_sketches_bound_the_difference_of_large_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (100, 700, 900, 3000, 7000):
+        a = np.unique(rng.integers(0, 2**64 - 1, n, np.uint64))
+        b = np.unique(np.concatenate([a[n // 9 :], rng.integers(0, 2**64 - 1, n // 7, np.uint64)]))
+        folded = nj._popcounts(np.fromiter([nj._sketch(a), nj._sketch(b)], object, 2))
+        words = min(len(nj._sketch(a)), len(nj._sketch(b)))
+        rows = folded[(words // nj.SKETCH_LEAST).bit_length() - 1].view(np.uint64)
+        assert 0 < np.bitwise_count(rows[0] ^ rows[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_sizes_and_places_are_packed_apart():
+    import numpy as np
+
+    k = nj._packed(1 << 29, (1 << 30) - 1, np.array([0, (1 << 30) - 1]))
+    assert nj._size(k).tolist() == [(1 << 30) - 1] * 2 and nj._place(k).tolist() == [0, (1 << 30) - 1] and (k >= 0).all()
+
+
+def test_null_and_repeated_ids_are_told_apart_by_text(spark):
+    t, u = " ".join(f"w{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    rows = [(None, t), (None, t), (5, t), (5, t), (5, u), (6, u + " x"), (None, None), (None, ""), (7, None), (7, None)]
+    got = nj.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(5, t), (5, u), (0, ""), (0, ""), (7, ""), (7, "")])
+    only_null = spark.createDataFrame([(None, t), (None, t + " y"), (None, t)], "doc_id long, text string")
+    assert nj.drop_near_duplicates(only_null).count() == 1
+
+
 def test_tiny_and_empty_tables(spark):
     check(spark, ["a b c d e f"])
     assert nj.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,6 +1,3 @@
-import os
-import shutil
-
 import corpus_pipeline as c
 import pytest
 from marlstone.llm import queries as q
@@ -60,7 +57,13 @@ def test_stage_list():
     assert [n for n, _ in c.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "decontamination", "bpe_tokens"] and c.ORACLE_SQL is None
 
 
-def teardown_module():
-    for d in ("/tmp/checkpoints/marlstone",):
-        if os.path.isdir(d):
-            shutil.rmtree(d, ignore_errors=True)
+def test_null_and_repeated_ids_are_judged_by_their_text(spark, folder, tmp_path, prose):
+    item = " ".join(prose(900, 20).split())
+    rows = [(None, prose(300, 40) + " " + item, "en", "s", 0), (None, prose(50, 60) + " tail", "en", "s", 0), (50, prose(301, 30), "en", "s", 0)]
+    docs = table(spark, folder, "documents").unionAll(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    docs.write.parquet(f"{tmp_path}/n/documents.parquet")
+    for t in ("labels", "benchmark"):
+        table(spark, folder, t).write.parquet(f"{tmp_path}/n/{t}.parquet")
+    got = [r.doc_id for r in c.run(spark, f"{tmp_path}/n").collect()]
+    # the null-id leak and the null-id copy of document 50 go, its namesake stays
+    assert len(got) == 102 and got.count(None) == 1 and got.count(50) == 2
