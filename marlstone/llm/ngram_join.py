@@ -203,7 +203,7 @@ def _postings(rows: DataFrame, shared, width: int, seed: int, percent: int) -> D
         parts: list[tuple] = []
         seen: set[int] = set()
         size = 0
-        for _, text in _texts(batches):
+        for text in (x.as_py() for batch in batches for x in batch.column("text")):
             s = shingle_set(text, width)
             n = len(s)
             if n:
@@ -227,7 +227,7 @@ def _postings(rows: DataFrame, shared, width: int, seed: int, percent: int) -> D
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["s", "z", "k", "c"])
 
-    return rows.mapInArrow(run, "s long, z int, k long, c long")
+    return rows.select("text").mapInArrow(run, "s long, z int, k long, c long")
 
 
 def _possible(n, i, m, j, percent: int, first: bool = True):
