@@ -1,7 +1,9 @@
 """Corpus pipeline: quality rules, line dedup, near-duplicate removal, decontamination, token ids.
 
-Every stage works on all that its predecessor kept and gets its input from Parquet. Rows with a
-null doc_id pass the filters by their text alone; an empty table gives an empty result.
+Every stage works on all that its predecessor kept and gets its input from Parquet. Rows are told apart by
+id and text: with a null doc_id, or one that other texts share, they are judged by their text alone, a null-id
+copy or leak goes like any other, and of rows that repeat both id and text one stays (rows without words
+fail the quality rules). An empty table gives an empty result.
 """
 
 from __future__ import annotations
