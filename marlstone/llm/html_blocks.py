@@ -19,9 +19,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]{0,4000}\"|'[^']{0,4000}'|[^'\">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S,
 )
+_OPEN = re.compile(r"<!--.*()()()()()()\Z", re.S)
 _NAMES = re.compile(r"""(?:class|id|role|itemprop|aria-label|rel)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true""", re.I)
@@ -70,9 +71,10 @@ def leaf_blocks(page: str) -> list[Leaf]:
             hidden -= name in HIDDEN
         del stack[k:]
 
-    end = len(page)
+    end, last = len(page), page.rfind(">")
     while at < end:
-        tag = _TAG.search(page, at)
+        # behind the last ">" only an unclosed comment can follow
+        tag = _TAG.search(page, at) if at <= last else _OPEN.search(page, at)
         stop = tag.start() if tag else end
         if stop > at and not hidden:
             piece = page[at:stop]

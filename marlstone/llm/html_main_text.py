@@ -9,8 +9,9 @@ documented bound); it takes some seconds, once a driver process.
 
 Defined cases: null or empty html gives the empty text; pages without main blocks give the
 empty text; unclosed and stray tags are mended as browsers do in simple cases; repeated rows
-give repeated results; pages are read whole, those of more than STRETCH blocks in stretches
-of that length. Extra columns are ignored.
+give repeated results; pages are read whole: those of more than STRETCH blocks go through the network in stretches
+of that length, and each direction carries its state from one to the next. An empty table gives
+an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
+from .common import fresh
 from .html_blocks import Leaf, leaf_blocks
 
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS, HIDDEN = 128, 48, 8, 24
@@ -53,9 +55,10 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return _PATHS[path]
 
 
-def block_vectors(leaves: list[Leaf]) -> np.ndarray:
-    """One input row for each leaf of a page."""
+def block_vectors(leaves: list[Leaf], first: int = 0, blocks: int | None = None) -> np.ndarray:
+    """One input row for each leaf of a page, or of a stretch of a page of so many blocks that begins at first."""
     n = len(leaves)
+    blocks = blocks or n
     x = np.zeros((n, INPUT), np.float32)
     rows, buckets, known = [], [], _BUCKETS
     if len(known) > 200_000:
@@ -71,7 +74,7 @@ def block_vectors(leaves: list[Leaf]) -> np.ndarray:
         size = len(leaf.text)
         x[k, PATH_DIMS + WORD_DIMS :] = (
             min(np.log1p(size) / 6, 1.5), min(np.log1p(len(words)) / 5, 1.5), min(leaf.link_chars / size, 1.0), min(10 * len(_MARKS.findall(leaf.text)) / size, 1.0),
-            min(5 * len(_DIGITS.findall(leaf.text)) / size, 1.0), k / n, min(len(leaf.path) / 12, 1.5), float(leaf.text[-1] in ".!?\"'"),
+            min(5 * len(_DIGITS.findall(leaf.text)) / size, 1.0), (first + k) / blocks, min(len(leaf.path) / 12, 1.5), float(leaf.text[-1] in ".!?\"'"),
         )
     if buckets:
         sizes = np.array(rows)
@@ -96,11 +99,11 @@ class BiLSTM:
             self.w[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
         self.w |= {"o": scaled(2 * HIDDEN, 1), "p": np.zeros(1, np.float32)}
 
-    def _direction(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """States of one direction over x (time, page, input); finished pages hold their state."""
+    def _direction(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, carried=None):
+        """States of one direction over x (time, page, input) and its last state; finished pages hold their state."""
         steps, pages, _ = x.shape
         gates = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
-        h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+        h, c = carried or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
         states, trace = np.zeros((steps, pages, HIDDEN), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = gates[t] + h @ self.w[f"h{d}"]
@@ -114,13 +117,26 @@ class BiLSTM:
             c = m * fresh + (1 - m) * c
             h = m * o * tanh_c + (1 - m) * h
             states[t] = h
-        return states, trace
+        return states, trace, (h, c)
 
     def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Probability of main text, (time, page)."""
         both = np.concatenate([self._direction(x, mask, d, False)[0] for d in "fb"], axis=2)
         return _sigmoid(both @ self.w["o"] + self.w["p"])[:, :, 0]
 
+    def predict_long(self, leaves: list[Leaf]) -> np.ndarray:
+        """Probability of main text for each block of one page of any length: two passes, by stretches."""
+        n = len(leaves)
+        starts = list(range(0, n, STRETCH))
+        both = np.zeros((n, 2 * HIDDEN), np.float32)
+        for k, d in enumerate("fb"):
+            state = None
+            for a in starts if d == "f" else reversed(starts):
+                x = block_vectors(leaves[a : a + STRETCH], a, n)[:, None]
+                states, _, state = self._direction(x, np.ones(x.shape[:2], np.float32), d, False, state)
+                both[a : a + STRETCH, k * HIDDEN : (k + 1) * HIDDEN] = states[:, 0]
+        return _sigmoid(both @ self.w["o"] + self.w["p"])[:, 0]
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict:
         """Gradients of the mean cross entropy, by back-propagation through time."""
         runs = {d: self._direction(x, mask, d, True) for d in "fb"}
@@ -231,9 +247,9 @@ def training_page(rng: random.Random) -> tuple[str, dict[str, int]]:
             main.append(block(rng.choice(["h2", "h3"]), prose(2, 7, False), 1))
         elif kind < 0.9:
             main.append("<ul>" + "".join(block("li", prose(2, 15, False), 1) for _ in range(rng.randint(2, 5))) + "</ul>")
-        elif kind < 0.94:
+        elif kind < 0.92:
             main.append(block("blockquote", prose(5, 40), 1))
-        elif kind < 0.97:
+        elif kind < 0.94:
             main.append("<table><tr>" + "".join(block("td", prose(1, 4, False), 1) for _ in range(rng.randint(2, 4))) + "</tr></table>")
         elif len(main) > 1:
             main.append(region(rng.choice(["advert", "side", "notice", "form"])))
@@ -302,23 +318,20 @@ def default_model() -> BiLSTM:
 
 def label_pages(pages: list[list[Leaf]], model: BiLSTM) -> list[np.ndarray]:
     """Probability of main text for each block of each page, in bounded batches of pages alike in length."""
-    parts = [(k, start) for k, p in enumerate(pages) for start in range(0, len(p), STRETCH)]
-    parts.sort(key=lambda x: min(len(pages[x[0]]) - x[1], STRETCH))
     out = [np.zeros(len(p), np.float32) for p in pages]
-    k = 0
-    while k < len(parts):
-        group, longest = [], 0
-        while k < len(parts):
-            page, start = parts[k]
-            size = min(len(pages[page]) - start, STRETCH)
-            if group and max(longest, size) * (len(group) + 1) > BATCH_CELLS:
-                break
-            group.append((page, start, size))
-            longest, k = max(longest, size), k + 1
-        x, mask = _padded([block_vectors(pages[p][a : a + n]) for p, a, n in group])
-        found = model.predict(x, mask)
-        for j, (p, a, n) in enumerate(group):
-            out[p][a : a + n] = found[:n, j]
+    order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
+    while order and len(pages[order[-1]]) > STRETCH:
+        k = order.pop()
+        out[k] = model.predict_long(pages[k])
+    at = 0
+    while at < len(order):
+        group = order[at : at + 1]
+        while at + len(group) < len(order) and len(pages[order[at + len(group)]]) * (len(group) + 1) <= BATCH_CELLS:
+            group.append(order[at + len(group)])
+        at += len(group)
+        found = model.predict(*_padded([block_vectors(pages[k]) for k in group]))
+        for j, k in enumerate(group):
+            out[k] = found[: len(pages[k]), j]
     return out
 
 
@@ -333,7 +346,7 @@ def extract(pages: DataFrame, model: BiLSTM | None = None, html_col: str = "html
     """keep and text (main text) of every page."""
     ship_package(pages.sparkSession)
     weights = (model or default_model()).w
-    names = [*keep, "text"]
+    names, given = [*keep, "text"], fresh("page", pages.select(*keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = BiLSTM()
@@ -341,9 +354,9 @@ def extract(pages: DataFrame, model: BiLSTM | None = None, html_col: str = "html
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = main_texts(part.column("__html").to_pylist(), net, level)
+                texts = main_texts(part.column(given).to_pylist(), net, level)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], names=names)
 
-    rows = pages.select(*keep, F.col(html_col).alias("__html"))
+    rows = pages.select(*keep, F.col(html_col).alias(given))
     schema = rows.select(*keep).schema.add("text", "string")
     return rows.mapInArrow(run, schema)

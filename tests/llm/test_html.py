@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from marlstone.llm import html_main_text as h
@@ -70,7 +72,23 @@ def test_extract(spark, model):
     assert h.extract(df.limit(0), model).count() == 0
 
 
-def test_long_pages_are_read_whole(model, monkeypatch):
+def test_long_pages_keep_their_context(model, monkeypatch):
+    """Stretches carry the network's state: a page of many stretches is labelled as in one piece."""
+    page = PAGE.replace("<p>First", "".join(f"<p>Paragraph number {k}, of a long story that goes on.</p>" for k in range(700)) + "<p>First")
+    leaves = leaf_blocks(page)
+    whole = model.predict(h.block_vectors(leaves)[:, None], np.ones((len(leaves), 1), np.float32))[:, 0]
     monkeypatch.setattr(h, "STRETCH", 64)
-    page = "<html><body><article>" + "".join(f"<p>Paragraph number {k}, of a long story that goes on.</p>" for k in range(300)) + "</article></body></html>"
-    assert h.main_texts([page], model)[0].count("\n") > 290
+    assert np.abs(h.label_pages([leaves], model)[0] - whole).max() < 1e-5
+    assert h.main_texts([page], model)[0].split("\n")[-1] == MAIN.split("\n")[-1]
+
+
+def test_pages_beyond_a_stretch(model):
+    page = "<html><body><nav><ul><li><a href='/'>Home</a></ul></nav><article>" + "".join(f"<p>Paragraph number {k}, of a long story that goes on.</p>" for k in range(20_000)) + "</article><footer>&copy; site</footer></body></html>"
+    assert h.main_texts([page], model)[0].count("\n") > 19_900
+
+
+def test_long_attributes_and_unclosed_tags():
+    assert texts(f"<p title=\"{'a>b ' * 5000}\">in</p><p class='{'x>' * 9000}'>two</p>") == ["in", "two"]
+    began = time.time()
+    assert len(texts("<a " * 100_000)) <= 1 and texts("<p>x</p><!-- open " + "<b " * 50_000) == ["x"]
+    assert time.time() - began < 5
