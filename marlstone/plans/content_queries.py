@@ -283,9 +283,9 @@ def f10(spark, sf):
 
 
 @query("f15_f16_safe_names", r"""SELECT page_id, substr('kb_' || regexp_replace(url, '[^0-9A-Za-z_]', '_', 'g'), 1, 255) AS collection,
-  regexp_replace(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '[^A-Za-z0-9_. -]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS filename FROM pages WHERE url NOT LIKE '%/'""")
+  coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '[^A-Za-z0-9_. -]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g'), ''), 'file') AS filename FROM pages""")
 def f15(spark, sf):
-    return read(spark, sf, "pages").where("url not like '%/'").select("page_id", T.safe_collection(F.col("url")).alias("collection"), T.safe_filename(F.col("url")).alias("filename"))
+    return read(spark, sf, "pages").select("page_id", T.safe_collection(F.col("url")).alias("collection"), T.safe_filename(F.col("url")).alias("filename"))
 
 
 @query("f17_ocr_text", r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations")
@@ -624,7 +624,7 @@ def s1(spark, sf):
 
     k = F.col("doc_id") % 3
     name = F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".txt", ".md", ".csv"))), (k + 1).cast("int")))
-    body = F.when(k == 1, F.concat(F.lit("# Title\n\n"), F.col("text"))).when(k == 2, F.concat(F.lit("id,source\n"), F.col("doc_id"), F.lit(","), F.col("source"), F.lit("\n"))).otherwise(F.col("text"))
+    body = F.when(k == 1, F.concat(F.lit("# Title\n\n"), F.col("text"))).when(k == 2, F.concat(F.lit("id,source,text\n"), F.col("doc_id"), F.lit(","), F.col("source"), F.lit(',"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"\n'))).otherwise(F.col("text"))
     files = read(spark, sf, "documents").select(F.col("doc_id"), name.alias("name"), F.encode(body, "UTF-8").alias("content"))
     return parse_files(files, "doc_id", "name").drop("metadata", "warnings")
 
@@ -641,11 +641,10 @@ def s16(spark, sf):
 
 @query("s15_s21_versioned_store", "SELECT source, count(*) AS n FROM documents GROUP BY 1")
 def s15(spark, sf):
-    import uuid
-
     from ..sources.store import commit, current
+    from ..streaming.ingest import shared_folder
 
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/marlstone/store-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "store")
     counts = read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
     commit(counts.limit(1), root)
     commit(counts, root)

@@ -6,6 +6,7 @@ through an anti-join on stable ids, so a batch that Spark delivers again adds no
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -17,8 +18,18 @@ from ..operators.keywords import ranked_terms
 INDEX = "id long, digest string, keywords array<string>"
 
 
+_OWN_FOLDER: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A fresh folder below the one that the cluster names in spark.checkpoint.dir; a temporary one where Spark is local, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not root:
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="spark-"))
+        root = _OWN_FOLDER[0]
     return f"{root.rstrip('/')}/marlstone/{name}-{uuid.uuid4().hex}"
 
 
