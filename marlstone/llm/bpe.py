@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship_package
+from .common import bound_batches, fresh, releasing
 
 #: Fixed value: the word pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose words are gathered before their distinct ones are encoded together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 #: Words remembered between chunks; beyond it the memory is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -203,22 +204,24 @@ def _lengths(column: pa.Array) -> list[int]:
 def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """keep, ids (array of int) and, if asked for, decoded (the text that the ids give)."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
+    given = fresh("text", docs.select(*keep))
     fields = [docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
     fields += [T.StructField("decoded", T.StringType())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for batch in batches:
-            for part in _chunks(batch, "__text", _lengths):
-                flat, counts = bpe.encode(part.column("__text").to_pylist())
+            for part in _chunks(batch, given, _lengths):
+                flat, counts = bpe.encode(part.column(given).to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))
                 columns = [part.column(c) for c in keep] + [ids]
                 if decoded:
                     columns.append(pa.array(bpe.decode(flat, counts), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("__text")
-    return docs.select(*keep, text).mapInArrow(run, T.StructType(fields))
+    text = F.coalesce(F.col(text_col), F.lit("")).alias(given)
+    return docs.select(*keep, text).mapInArrow(releasing(run), T.StructType(fields))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -236,4 +239,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str,
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], names=[f.name for f in fields])
 
     ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("__ids")
-    return encoded.select(*keep, ids).mapInArrow(run, T.StructType(fields))
+    return encoded.select(*keep, ids).mapInArrow(releasing(run), T.StructType(fields))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,27 @@ def discard(*written: DataFrame) -> None:
             folder.getFileSystem(hadoop).delete(folder, True)
 
 
+#: Rows of an Arrow batch at most, where whole texts pass through Python: bounds what a task holds beside the heap.
+ARROW_ROWS = 4_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ARROW_ROWS rows; a smaller setting of the user stands."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+def releasing(run):
+    """run (batches to batches) that gives Arrow's unused memory back when a task ends: Python workers live on for other stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint where a count shows that it is small; else the join shuffles."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

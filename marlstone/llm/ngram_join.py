@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .common import broadcast_if_small, discard, materialize, text_key
+from .common import bound_batches, broadcast_if_small, discard, materialize, releasing, text_key
 from .components import connected_components
 
 #: A shingle is frequent when it makes up this share of all shingles.
@@ -76,7 +76,7 @@ def shingle_set(text: str, width: int = 5) -> np.ndarray:
     try:
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words).difference(known))
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -162,7 +162,7 @@ def _sets(rows: DataFrame, width: int, seed: int) -> DataFrame:
         if out:
             yield batch(out)
 
-    return rows.mapInArrow(run, "kind byte, doc_id long, key long, key2 long, n long, c long, c2 long, sketch array<long>")
+    return rows.mapInArrow(releasing(run), "kind byte, doc_id long, key long, key2 long, n long, c long, c2 long, sketch array<long>")
 
 
 def _need(n, percent: int):
@@ -227,7 +227,7 @@ def _postings(rows: DataFrame, shared, width: int, seed: int, percent: int) -> D
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["s", "z", "k", "c"])
 
-    return rows.select("text").mapInArrow(run, "s long, z int, k long, c long")
+    return rows.select("text").mapInArrow(releasing(run), "s long, z int, k long, c long")
 
 
 def _possible(n, i, m, j, percent: int, first: bool = True):
@@ -370,7 +370,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
                 yield _pair_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     dealt = postings.repartition("s", "z").sortWithinPartitions("s", "z", "k", "c")
-    return dealt.mapInArrow(run, _FOUND_SCHEMA)
+    return dealt.mapInArrow(releasing(run), _FOUND_SCHEMA)
 
 
 def _popcounts(sketches: np.ndarray) -> list[np.ndarray]:
@@ -414,8 +414,9 @@ def _near(buckets: DataFrame, sketches: DataFrame, percent: int, best: bool) ->
                 if not len(hn) or not len(probes):
                     continue
                 folded = None
-                for t in range(0, len(probes), 128):
-                    p = probes[t : t + 128]
+                tile = max(1, 200_000 // len(hn))
+                for t in range(0, len(probes), tile):
+                    p = probes[t : t + tile]
                     first, last = np.searchsorted(hn, -(-percent * n[p[0]] // 100)), np.searchsorted(hn, 100 * n[p[-1]] // percent, "right")
                     if first == last:
                         continue
@@ -456,7 +457,7 @@ def _near(buckets: DataFrame, sketches: DataFrame, percent: int, best: bool) ->
     visits = F.when(F.col("main"), F.array("at")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = placed.select("s", "k", "c", "root", "main", "at", F.explode(visits).alias("b")).withColumn("own", F.col("at") == F.col("b"))
     dealt = dealt.join(sketches, "c").select("s", "b", (~F.col("own")).alias("away"), "k", "c", "root", "own", "main", "sketch")
-    return dealt.repartition("s", "b").sortWithinPartitions("s", "b", "away").mapInArrow(run, "x long, y long, nx long, ny long, score long")
+    return dealt.repartition("s", "b").sortWithinPartitions("s", "b", "away").mapInArrow(releasing(run), "x long, y long, nx long, ny long, score long")
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -516,7 +517,7 @@ def _verified(kept: DataFrame, reps: DataFrame, rows: DataFrame, shared, width:
         if out:
             yield _fragment_batch(out)
 
-    cut = rows.select("doc_id", "text", key.alias("bit")).mapInArrow(run, "id long, k long, f byte, part array<long>")
+    cut = rows.select("doc_id", "text", key.alias("bit")).mapInArrow(releasing(run), "id long, k long, f byte, part array<long>")
     parts = cut.join(involved, (cut["k"] == involved["c"]) & cut["id"].eqNullSafe(involved["doc_id"])).select("c", "f", "part")
     parts = materialize(parts, "near-fragments")
     left = kept.join(parts.select(F.col("c").alias("x"), "f", F.col("part").alias("px")), "x")
@@ -552,6 +553,7 @@ def _placed(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     """doc_id, key, key2, n, c, root of every document with words, and doc_id of every one without."""
     spark = docs.sparkSession
     ship_package(spark)
+    bound_batches(spark)
     rows = _rows(docs, id_col, text_col)
     sets = materialize(_sets(rows, width, seed), "ngram-sets")
     own = sets.where("kind = 0")
