@@ -15,6 +15,7 @@ from ..functions.text import is_blank, normalise_newlines
 from ..operators.tables import TableError, table_rows
 from ..shipping import ship_package
 from .decode import ParseError, decode_text, normalise
+from .images import Limits, image_size
 from .markdown import blocks_of, front_matter
 from .office import parse_docx, parse_xlsx
 
@@ -120,7 +121,7 @@ def _xls(data: bytes):
     return blocks, {}, warnings
 
 
-def _pdf(data: bytes, ocr: Callable | None = None, max_pages: int = 2000):
+def _pdf(data: bytes, max_pages: int = Limits.pages):
     try:
         import pypdf
     except ImportError as e:
@@ -141,8 +142,6 @@ def _pdf(data: bytes, ocr: Callable | None = None, max_pages: int = 2000):
     blocks, warnings = [], []
     for number, page in enumerate(pages, 1):
         found = [{"kind": "paragraph", "text": t, "meta": {"page": number}} for t in pdf_paragraphs(page.extract_text() or "")]
-        if not found and ocr is not None:
-            found = ocr(page, number)
         if not found:
             warnings.append({"code": "PDF_EMPTY_PAGE", "metadata": {"page": number}})
         blocks += found
@@ -164,10 +163,11 @@ def pdf_paragraphs(text: str) -> list[str]:
     return out
 
 
-def _image(data: bytes, ocr: Callable | None = None):
-    if ocr is None:
-        raise ParseError("OCR_UNAVAILABLE")
-    return ocr(data, 1), {}, []
+def _image(data: bytes):
+    """Images have no text layer: recognised_lines() and ocr_blocks() of images.py read them with an engine."""
+    if image_size(data):
+        Limits().check(*image_size(data))
+    raise ParseError("OCR_NOT_ENABLED")
 
 
 #: Extension to parser and source type.

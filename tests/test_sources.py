@@ -35,7 +35,7 @@ def test_dispatch_and_text():
     blocks = parse_file("x.TXT", b"\n\na\r\nb\r\n \r\nc")["blocks"]
     assert [(b["text"], b["meta"]) for b in blocks] == [("a\nb", {"line_start": 3, "line_end": 4}), ("c", {"line_start": 6, "line_end": 6})]
     assert texts("corrupt.pdf", "This is not a PDF file.") == ([], "PDF_MALFORMED")
-    assert texts("x.png", b"\x89PNG\r\n\x1a\n") == ([], "OCR_UNAVAILABLE")
+    assert texts("x.png", b"\x89PNG\r\n\x1a\n") == ([], "OCR_NOT_ENABLED")
 
 
 def test_decoding():
