@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import importlib.util
+import logging
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_identifier, normalise_token, tokens
+from ..functions.text import CJK, is_identifier, normalise_token, tokens
+from ..shipping import ship_package
 
 #: Words that are no keywords, and the bonus of identifiers.
 STOPWORDS = (
@@ -17,13 +24,35 @@ LONGEST = 255
 DOCUMENT_LIMIT, QUERY_LIMIT = 15, 100
 
 
-def cut_cjk(words: list[str]) -> list[str]:
-    """Dictionary words of CJK runs, if the dictionary cutter is installed; else the runs themselves."""
-    try:
-        import jieba
-    except ImportError:
-        return words
-    return [piece for w in words for piece in (jieba.cut(w, HMM=False) if any("㐀" <= c for c in w) else (w,))]
+def installed_cutter() -> Callable[[], Callable[[str], Iterable[str]]] | None:
+    """Opens the dictionary cutter of CJK runs, once a task; None where its library isn't installed."""
+    return _jieba if importlib.util.find_spec("jieba") else None
+
+
+def _jieba() -> Callable[[str], Iterable[str]]:
+    import jieba
+
+    jieba.setLogLevel(logging.WARNING)
+    own = jieba.Tokenizer()
+    return lambda run: own.cut(run, HMM=False)
+
+
+def cut_cjk(text: Column, open_cutter: Callable[[], Callable[[str], Iterable[str]]]) -> Column:
+    """Text with a space between the dictionary words of its CJK runs; null stays null.
+
+    Texts without such runs never leave the JVM's side of the plan as more than a null; the cutter sees whole runs only.
+    """
+    ship_package(SparkSession.active())
+    runs = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), CJK) + "]+")
+
+    @F.pandas_udf("string")
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cutter = open_cutter()
+        for texts in parts:
+            yield texts.map(lambda t: runs.sub(lambda m: " ".join(cutter(m[0])), t), na_action="ignore")
+
+    has = text.rlike(f"[{CJK}]")
+    return F.when(has, cut(F.when(has, text))).otherwise(text)
 
 
 def terms(text: Column) -> Column:
@@ -32,8 +61,14 @@ def terms(text: Column) -> Column:
     return F.filter(allowed, lambda t: ~t.isin(*STOPWORDS) & (F.length(t) <= LONGEST))
 
 
-def ranked_terms(text: Column, limit: int = DOCUMENT_LIMIT) -> Column:
-    """The leading terms by frequency plus bonus, then by term; one row's own work, no shuffle."""
+def ranked_terms(text: Column, limit: int = DOCUMENT_LIMIT, open_cutter: Callable | None = None) -> Column:
+    """The leading terms by frequency plus bonus, then by term; one row's own work, no shuffle.
+
+    CJK runs are cut by open_cutter (installed_cutter() if none is given); without any, a run is one term.
+    """
+    open_cutter = open_cutter or installed_cutter()
+    if open_cutter:
+        text = cut_cjk(text, open_cutter)
 
     def ranked(ordered: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))

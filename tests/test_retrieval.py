@@ -148,3 +148,21 @@ def test_every_20th_row_is_a_query_and_all_rows_are_numbered(spark):
     top = catalog.QUERIES["o1_top_k_every_20th"](spark, DATA)
     assert {r.query_id for r in top.select("query_id").distinct().collect()} == {r.vec_id for r in e.where("vec_id % 20 = 0").collect()}
     assert catalog.QUERIES["s22_t6_references_all"](spark, DATA).count() == e.count()
+
+
+def test_dictionary_words_of_cjk_runs(spark):
+    def open_cutter():
+        words = ("知识", "图谱", "检索")
+
+        def cut(run):
+            at = 0
+            while at < len(run):
+                word = next((w for w in words if run.startswith(w, at)), run[at])
+                yield word
+                at += len(word)
+
+        return cut
+
+    rows = spark.createDataFrame([(1, "知识图谱检索abc知识 X-1"), (2, "plain words"), (3, None), (4, "")], "id long, t string")
+    got = {r.id: r.k for r in rows.select("id", keywords.ranked_terms(F.col("t"), 10, open_cutter).alias("k")).collect()}
+    assert got == {1: ["X-1", "知识", "abc", "图谱", "检索"], 2: ["plain", "words"], 3: [], 4: []}
