@@ -1,9 +1,9 @@
 """Byte-level BPE by a pair occurrence index.
 
 The distinct words of a bounded chunk of a partition are laid out as one symbol array.
-Every adjacent pair maps to the list of all its positions; active ranks are taken from a
-heap in ascending order, all positions of the pair are merged, and the lists of the pairs
-that this creates are updated. Positions made stale by earlier merges fail a check of
+Every adjacent pair that has a rank maps to the arrays of all its positions; active ranks are
+taken from a heap in ascending order, all positions of the pair are merged at once, and the
+arrays of the pairs that this creates are updated. Positions made stale by earlier merges fail a check of
 their symbols and are skipped. Words never merge across each other, so this equals merging
 each word on its own.
 
@@ -19,6 +19,7 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +60,15 @@ class PairIndexBPE:
             pieces[i] = bytes(to_byte[c] for c in token)
         for token, i in self.special.items():
             pieces[i] = token.encode()
-        self.first = [vocab[c] for c, _ in sorted(to_byte.items(), key=lambda x: x[1])]
+        self.first = np.full(256, -1, np.int64)
+        for c, b in to_byte.items():
+            self.first[b] = vocab[c]
+        self.first[255] = -1
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks: dict[int, tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(merges):
-            self.ranks.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+        #: rank -> left, right and new symbol; the sorted pairs and their ranks
+        self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        pairs = np.fromiter((a << 32 | b for a, b, _ in self.merges), np.int64, len(self.merges))
+        self.pairs, self.rank_of = np.unique(pairs, return_index=True)
         self.piece_size = np.fromiter(map(len, pieces), np.int64, size)
         self.piece_start = np.concatenate([[0], np.cumsum(self.piece_size)[:-1]])
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
@@ -77,56 +82,64 @@ class PairIndexBPE:
         self.starts = array("q", range(len(self.special)))
         self.sizes = array("q", [1] * len(self.special))
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, by the pair occurrence index over all of them."""
-        first, ranks = self.first, self.ranks
-        symbols: list[int] = []
-        for w in words:
-            symbols.extend([first[b] for b in w.encode()])
-            symbols.append(-1)  # ends a word
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of symbols have a rank, and the ranks of those."""
+        pairs = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        known = self.pairs[at] == pairs
+        return known, self.rank_of[at[known]]
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row and each word's number of ids, by the pair occurrence index over all of them."""
+        # 0xFF is no byte of UTF-8; its symbol -1 ends a word, and one stands before the first
+        symbols = self.first[np.frombuffer(b"\xff" + b"".join(w.encode() + b"\xff" for w in words), np.uint8)]
         n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        places: dict[int, list[int]] = {}
-        for p in range(n - 1):
-            a, b = symbols[p], symbols[p + 1]
-            if a >= 0 and b >= 0:
-                pair = a << 32 | b
-                if pair in places:
-                    places[pair].append(p)
-                elif pair in ranks:
-                    places[pair] = [p]
-        active = [(ranks[pair][0], pair) for pair in places]
-        heapq.heapify(active)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        places: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def add(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            known, ranks = self._ranked(left, right)
+            if not len(ranks):
+                return
+            at, order = at[known], np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for rank, lo, hi in zip(ranks[[0, *cuts]].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+                if rank in places:
+                    places[rank].append(at[lo:hi])
+                else:
+                    places[rank] = [at[lo:hi]]
+                    heapq.heappush(active, rank)
+
+        at = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))
+        if len(self.pairs):
+            add(at, symbols[at], symbols[at + 1])
         while active:
-            _, pair = heapq.heappop(active)
-            a, b, new = pair >> 32, pair & 0xFFFFFFFF, ranks[pair][1]
-            positions = places.pop(pair)
-            positions.sort()
-            for p in positions:
-                q = after[p]
-                if symbols[p] != a or q >= n or symbols[q] != b:
-                    continue
-                symbols[p], symbols[q] = new, -2  # q is gone
-                end = after[p] = after[q]
-                if end < n:
-                    before[end] = p
-                for left, right in ((before[p], p), (p, end)):
-                    if left < 0 or right >= n or symbols[left] < 0 or symbols[right] < 0:
-                        continue
-                    made = symbols[left] << 32 | symbols[right]
-                    if made in places:
-                        places[made].append(left)
-                    elif made in ranks:
-                        places[made] = [left]
-                        heapq.heappush(active, (ranks[made][0], made))
-        out, own = [], []
-        for s in symbols:
-            if s >= 0:
-                own.append(s)
-            elif s == -1:
-                out.append(own)
-                own = []
-        return out
+            rank = heapq.heappop(active)
+            lists = places.pop(rank)
+            a, b, new = self.merges[rank]
+            p = np.unique(np.concatenate(lists)) if len(lists) > 1 else lists[0]
+            q = after[p]
+            there = (symbols[p] == a) & (symbols[q] == b)
+            p, q = p[there], q[there]
+            if a == b and len(p) > 1:  # of positions that overlap in a row, every second one stays
+                k = np.arange(len(p))
+                head = np.concatenate([[True], q[:-1] != p[1:]])
+                free = (k - np.maximum.accumulate(np.where(head, k, 0))) % 2 == 0
+                p, q = p[free], q[free]
+            if not len(p):
+                continue
+            symbols[p], symbols[q] = new, -2  # q is gone
+            right = after[p] = after[q]
+            before[right] = p
+            left = before[p]
+            one, two = symbols[left], symbols[right]
+            ok, ok2 = one >= 0, two >= 0
+            mid = symbols[p]
+            add(np.concatenate([left[ok], p[ok2]]), np.concatenate([one[ok], mid[ok2]]), np.concatenate([mid[ok], two[ok2]]))
+        kept = np.flatnonzero(symbols >= 0)
+        return symbols[kept].astype(np.int32), np.diff(np.searchsorted(kept, np.flatnonzero(symbols == -1)))
 
     def pretokens(self, text: str) -> list[str]:
         if not self.split:
@@ -142,14 +155,14 @@ class PairIndexBPE:
             self._forget()
         split = [self.pretokens(t) for t in texts]
         index = self.index
-        fresh = list({w for words in split for w in words if w not in index})
-        for w, ids in zip(fresh, self.merge(fresh), strict=True):
-            index[w] = len(self.starts)
-            self.starts.append(len(self.ids))
-            self.sizes.append(len(ids))
-            self.ids.extend(ids)
+        fresh = list(set(chain.from_iterable(split)).difference(index))
+        ids, sizes = self.merge(fresh)
+        index.update(zip(fresh, range(len(self.starts), len(self.starts) + len(fresh)), strict=True))
+        self.starts.frombytes((len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.ids.frombytes(ids.tobytes())
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((index[w] for words in split for w in words), np.int64, int(counts.sum()))
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         sizes = np.frombuffer(self.sizes, np.int64)[at].copy() if len(at) else np.zeros(0, np.int64)
         starts = np.frombuffer(self.starts, np.int64)[at].copy() if len(at) else sizes
         flat = _gather(np.array(self.ids, np.int32), starts, sizes)
