@@ -8,7 +8,8 @@ their symbols and are skipped. Words never merge across each other, so this equa
 each word on its own.
 
 Defined cases: null text is the empty text and gives no ids; texts are encoded whole; the
-strings of special tokens inside texts become their ids; decoding joins the tokens' bytes
+strings of special tokens inside texts become their ids; letters and numbers are those of the
+installed tokenizers library's Unicode; decoding joins the tokens' bytes
 and reads them as UTF-8, with U+FFFD for broken sequences; null ids decode to the empty
 text. Other columns pass only if named in keep.
 """
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -45,6 +48,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def newer_characters() -> str:
+    """Letters and numbers of the regex library that the tokenizers library, by an older Unicode, takes for neither.
+
+    Looked for among the code points that Python's own tables, older still, don't know.
+    """
+    import regex
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cut = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    unknown = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    out = ""
+    for lead, kind in (("a", r"\p{L}"), ("1", r"\p{N}")):
+        chars = regex.findall(kind, unknown)
+        joined = {start for _, (start, end) in cut("".join(f"{lead}{c}\n" for c in chars)) if end - start == 2}
+        out += "".join(c for k, c in enumerate(chars) if 3 * k not in joined)
+    return out
+
+
 class PairIndexBPE:
     """Encoder and decoder for one vocabulary file (the .json of the tokenizers library)."""
 
@@ -72,7 +93,13 @@ class PairIndexBPE:
         self.piece_size = np.fromiter(map(len, pieces), np.int64, size)
         self.piece_start = np.concatenate([[0], np.cumsum(self.piece_size)[:-1]])
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
-        self.words = regex.compile(PATTERN).findall
+        self.plain_words = regex.compile(PATTERN).findall
+        self.newer = frozenset(newer_characters())
+        newer = f"[{''.join(sorted(self.newer))}]" if self.newer else "(?!)"
+        careful = PATTERN.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|{newer})+")
+        for kind in (r"\p{L}", r"\p{N}"):
+            careful = careful.replace(f" ?{kind}+", f" ?(?:(?!{newer}){kind})+")
+        self.careful_words = regex.compile(careful).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self._forget()
 
@@ -141,6 +168,10 @@ class PairIndexBPE:
         kept = np.flatnonzero(symbols >= 0)
         return symbols[kept].astype(np.int32), np.diff(np.searchsorted(kept, np.flatnonzero(symbols == -1)))
 
+    def words(self, text: str) -> list[str]:
+        """Words of a text as the tokenizers library cuts them."""
+        return self.plain_words(text) if text.isascii() or self.newer.isdisjoint(text) else self.careful_words(text)
+
     def pretokens(self, text: str) -> list[str]:
         if not self.split:
             return self.words(text)

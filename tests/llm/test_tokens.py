@@ -1,4 +1,7 @@
+import random
+
 import pytest
+
 from marlstone.llm import bpe, token_counts
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -35,6 +38,28 @@ def test_merge_order_of_overlapping_pairs(library):
         assert flat.tolist() == library.encode(t).ids + library.encode(t + t).ids and counts.sum() == len(flat)
 
 
+def test_random_texts_equal_the_library(library):
+    draw = random.Random(5)
+    kinds = (lambda: draw.randrange(32, 127), lambda: draw.randrange(160, 0xD7FF), lambda: draw.randrange(0xE000, 0x1FFFF), lambda: draw.choice(b"ab \n'"))
+    texts = ["".join(chr(draw.choice(kinds)()) for _ in range(draw.randrange(80))) for _ in range(1500)] + ["", "ab" * 3001, "a" * 5003]
+    coder = bpe.PairIndexBPE(PATH)
+    flat, counts = coder.encode(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(ids) for ids in want] and flat.tolist() == [i for ids in want for i in ids]
+    assert coder.decode(flat, counts) == texts
+    assert [len(x) for x in coder.encode([])] == [0, 0]
+
+
+def test_every_code_point_is_cut_as_by_the_library(library):
+    coder = bpe.PairIndexBPE(PATH)
+    known = bpe.newer_characters()
+    some = known + "".join(chr(c) for c in range(0x80, 0x30000, 5) if not 0xD800 <= c < 0xE000)
+    texts = ["".join(lead + c for c in some[k : k + 500]) for lead in ("a", "1", "!", " ") for k in range(0, len(some), 500)]
+    flat, counts = coder.encode(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(ids) for ids in want] and flat.tolist() == [i for ids in want for i in ids]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(df, PATH).count() == 0 and token_counts.count_tokens(df, PATH).count() == 0
