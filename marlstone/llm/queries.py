@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, html_main_text, line_dedup, ngram_join, quality_rules, secrets_scan, token_counts, url_filter, warc
+from . import bpe, collocations, decontaminate, html_main_text, line_dedup, ngram_join, quality_rules, secrets_scan, token_counts, url_filter, warc
 from .common import materialize, scratch_dir, table
 
 
@@ -118,6 +118,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language with their counts and scores."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (SELECT lang, w[i:i + m - 1] AS p, m FROM places, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, p, m, count(*) AS n FROM grams GROUP BY lang, p, m HAVING count(*) >= 30),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+cuts AS (SELECT lang, p, m, n AS a, unnest(range(1, m)) AS k FROM f WHERE m >= 2),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.k, x.n AS l, y.n AS r, CAST(2000000 AS HUGEINT) * c.a // (CAST(x.n AS HUGEINT) + y.n) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:c.m]
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_spans AS (
+  SELECT f.lang, f.n, f.p[i:i + z - 1] AS p FROM f, (SELECT unnest([2, 3]) AS z), (SELECT unnest([1, 2, 3]) AS i) WHERE z < f.m AND i + z - 1 <= f.m
+), longest AS (SELECT lang, p, max(n) AS longer FROM inner_spans GROUP BY lang, p),
+free AS (
+  SELECT b.* FROM best b LEFT JOIN longest g ON g.lang = b.lang AND g.p = b.p
+  WHERE g.longer IS NULL OR CAST(100 AS HUGEINT) * g.longer < CAST(80 AS HUGEINT) * b.a
+), ranked AS (SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM free)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, CAST(r.score AS BIGINT) AS score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_secret_scan": op2_secret_scan,
@@ -129,6 +160,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op5_warc": OP5_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE_SQL = {"op5_warc": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_collocations": OP11_SQL}
