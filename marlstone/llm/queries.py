@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, collocations, decontaminate, html_main_text, line_dedup, ngram_join, quality_rules, secrets_scan, token_counts, url_filter, warc
+from . import bpe, collocations, decontaminate, html_main_text, line_dedup, ngram_join, quality_rules, secrets_scan, spelling, token_counts, url_filter, warc
 from .common import materialize, scratch_dir, table
 
 
@@ -149,6 +149,11 @@ SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, CAST(r.score AS BIGINT) AS
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, near words, form and root of every word of the documents."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_secret_scan": op2_secret_scan,
@@ -161,6 +166,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
     "op11_collocations": op11_collocations,
+    "op12_spelling_variants": op12_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op5_warc": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_collocations": OP11_SQL}
