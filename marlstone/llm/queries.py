@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, collocations, decontaminate, html_main_text, line_dedup, ngram_join, quality_rules, secrets_scan, spelling, token_counts, url_filter, warc
+from . import bpe, collocations, decontaminate, html_main_text, line_dedup, lm_scoring, ngram_join, quality_rules, secrets_scan, spelling, token_counts, url_filter, warc
 from .common import materialize, scratch_dir, table
 
 
@@ -154,6 +154,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model log-probabilities of every document, learnt from six of seven folds."""
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_secret_scan": op2_secret_scan,
@@ -167,6 +173,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_collocations": op11_collocations,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_lm_scoring": op13_lm_scoring,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op5_warc": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_collocations": OP11_SQL}
