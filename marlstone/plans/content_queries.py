@@ -206,6 +206,19 @@ def o1_every_20th(spark, sf):
     return top.select("query_id", "id", F.col("rank").cast("long").alias("rank"), V.result_score(F.col("score")).alias("score"))
 
 
+@query("o1_index_top_k")
+def o1_index(spark, sf):
+    """The same query set through an inverted-file index over every row; hits bear exact scores, recall is measured in the tests."""
+    from ..operators import vector_index as X
+    from ..streaming.ingest import shared_folder
+
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = X.build(X.fit(rows), rows, shared_folder(spark, "vector-index"))
+    top = X.search(index, rows, queries, 10)
+    return top.select("query_id", "id", F.col("rank").cast("long").alias("rank"), V.result_score(F.col("score")).alias("score"))
+
+
 @query("f11_f12_f14_cosine", """SELECT a.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS score
   FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 1) b""")
 def f11(spark, sf):
