@@ -2,9 +2,9 @@
 
 Words are lower-cased (A-Z), pieces end at `.,;:!?` and line ends, and everything is counted for each language by itself.
 
-1. Every word is counted, and every pair of adjacent words under a 64-bit key (combined chunk-wise before the shuffle). The
-   pairs that occur often enough fill a Bloom filter of BLOOM_WORDS 64-bit words: fixed in size, without false
-   negatives; what it lets through beside them is counted exactly later and falls out there.
+1. Every word is counted, then every pair of adjacent frequent words under a 64-bit key (combined chunk-wise before the
+   shuffle). The frequent words, and then pairs, fill Bloom filters of BLOOM_WORDS 64-bit words: fixed in size, without
+   false negatives; what they let through beside is counted exactly later and falls out there.
 2. Occurrence pointers: each position whose pair passes the filter, with the words that follow it, cut where a pair
    fails (no longer phrase can be frequent there). Equal ones are collapsed into one row with a count, first by chunk,
    then by a shuffle on the whole row, which no frequent word can skew.
@@ -34,7 +34,7 @@ from .common import bound_batches, broadcast_if_small, materialize, releasing
 
 CHUNK_BYTES = 4_000_000
 LONGEST = 4
-#: 64-bit words of the filter of frequent pairs (16 MB).
+#: 64-bit words of the filters of frequent words and pairs (16 MB each).
 BLOOM_WORDS = 1 << 21
 #: Distinct occurrence rows of a two-word prefix beyond which its extensions become prefixes.
 HOT_WINDOWS = 50_000
@@ -81,17 +81,29 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _pairs(lang: str, ids: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of adjacent words, number of each one's pair, and key and count by number."""
+def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (keys >> np.uint64(6)) % np.uint64(BLOOM_WORDS), keys & np.uint64(63)
+
+
+def _passes(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    w, b = _bits(keys)
+    return ((bloom[w] >> b) & np.uint64(1)) == 1
+
+
+def _keys(lang: str, words: list[bytes]) -> np.ndarray:
     seed = xxhash.xxh64_intdigest(lang)
-    keys = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-    at = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
-    distinct, number, counts = np.unique(ids[at] * len(words) + ids[at + 1], return_inverse=True, return_counts=True)
-    return at, number, _mixed(keys[distinct // len(words)], keys[distinct % len(words)]), counts
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (keys >> np.uint64(6)) % np.uint64(BLOOM_WORDS), keys & np.uint64(63)
+def _pairs(lang: str, ids: np.ndarray, words: list[bytes], bloom: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of adjacent words that both pass, number of each one's pair, and key and count by number."""
+    keys = _keys(lang, words)
+    good = _passes(bloom, keys)
+    good[0] = False
+    good = good[ids]
+    at = np.flatnonzero(good[:-1] & good[1:])
+    distinct, number, counts = np.unique(ids[at] * len(words) + ids[at + 1], return_inverse=True, return_counts=True)
+    return at, number, _mixed(keys[distinct // len(words)], keys[distinct % len(words)]), counts
 
 
 @releasing
@@ -102,18 +114,28 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @releasing
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, ids, words in _chunks(batches):
-        _, _, keys, counts = _pairs(lang, ids, words)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        langs, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        seeds = {lang: xxhash.xxh64_intdigest(lang) for lang in set(langs)}
+        keys = np.fromiter((xxhash.xxh64_intdigest(w, seeds[lang]) for lang, w in zip(langs, words, strict=True)), np.uint64, len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
 
 
-def _windows_of(lang: str, ids: np.ndarray, words: list[bytes], bloom: np.ndarray) -> pa.RecordBatch:
+def _broadcast_filter(keys: DataFrame):
+    """The Bloom filter of a column of keys; at most BLOOM_WORDS rows of two numbers reach the driver."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("key", F.lit(64)).cast("int"))
+    found = keys.groupBy(F.pmod(F.shiftrightunsigned("key", 6), F.lit(BLOOM_WORDS)).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    filled = np.zeros(BLOOM_WORDS, np.int64)
+    filled[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return keys.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+
+def _windows_of(lang: str, ids: np.ndarray, words: list[bytes], word_bloom: np.ndarray, bloom: np.ndarray) -> pa.RecordBatch:
     """lang, phrase, n: the distinct stretches of up to LONGEST words that start at a frequent pair, and end where one fails."""
-    at, number, keys, _ = _pairs(lang, ids, words)
-    w, b = _bits(keys)
+    at, number, keys, _ = _pairs(lang, ids, words, word_bloom)
     good = np.zeros(len(ids) + LONGEST, bool)
-    good[at] = (((bloom[w] >> b) & np.uint64(1)) == 1)[number]
+    good[at] = _passes(bloom, keys)[number]
     start = np.flatnonzero(good)
     wide = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
     third = np.where(good[start + 1], wide[start + 2], 0)
@@ -192,18 +214,22 @@ def frequent_phrases(docs: DataFrame, min_count: int, text_col: str = "text", la
     bound_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
     words = materialize(texts.mapInArrow(_count_words, _PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "phrase-words")
-    often = texts.mapInArrow(_count_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("key", F.lit(64)).cast("int"))
-    # at most BLOOM_WORDS rows of two longs reach the driver
-    found = often.groupBy(F.pmod(F.shiftrightunsigned("key", 6), F.lit(BLOOM_WORDS)).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    filled = np.zeros(BLOOM_WORDS, np.int64)
-    filled[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(filled.view(np.uint64))
+    frequent = F.col("n") >= min_count
+    by_word = _broadcast_filter(words.where(frequent).select("lang", "phrase").mapInArrow(_word_keys, "key long"))
+
+    @releasing
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, ids, known in _chunks(batches):
+            _, _, keys, counts = _pairs(lang, ids, known, by_word.value)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+
+    counted = texts.mapInArrow(count_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    by_pair = _broadcast_filter(materialize(counted.where(frequent).select("key"), "phrase-pairs"))
 
     @releasing
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, known in _chunks(batches):
-            yield _windows_of(lang, ids, known, shared.value)
+            yield _windows_of(lang, ids, known, by_word.value, by_pair.value)
 
     windows = texts.mapInArrow(project, _PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     windows = materialize(windows.select("*", _first(2).alias("prefix")), "phrase-windows")
@@ -211,7 +237,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, text_col: str = "text", la
     dealt = windows.join(hot, ["lang", "prefix"], "left").select("lang", F.when(F.col("rows").isNotNull(), _first(3)).otherwise(F.col("prefix")).alias("prefix"), "phrase", "n")
     tasks = dealt.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
     grown = tasks.mapInArrow(_grow_all(min_count), _PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return words, materialize(grown.where(F.col("n") >= min_count), "phrases")
+    return words, materialize(grown.where(frequent), "phrases")
 
 
 def collocations(docs: DataFrame, min_count: int = 30, per_lang: int = 2_000, contained: int = 80, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -39,11 +39,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's switch to delete the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch space and read it back: cuts lineage, survives lost executors."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared scratch space and read it back: cuts lineage, survives lost executors, frees its shuffle files."""
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*written: DataFrame) -> None:
