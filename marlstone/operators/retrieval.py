@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clamp, cosine, dot, doubles, norm, result_score
+from .keyword_index import KeywordIndex, keyword_recall
 
 DEFAULTS = {"mode": "hybrid", "top_k": 5, "score_threshold": 0.3, "semantic_weight": 0.7, "keyword_weight": 0.3, "rerank_enabled": False}
 
@@ -135,10 +136,14 @@ def with_context(ranked_rows: DataFrame, segments: DataFrame, top_k: int) -> Dat
     return shown.select("id", "document_id", "parent_id", "content", result_score(F.col("score")).alias("score"), "match_type", "after_rank").orderBy("after_rank")
 
 
-def retrieve(segments: DataFrame, documents: DataFrame, indexes: DataFrame, datasets: DataFrame, options: Options, semantic: DataFrame | None = None, query_terms: list[str] | None = None, graph: DataFrame | None = None, rerank: DataFrame | None = None) -> DataFrame:
-    """The whole read query, as one plan."""
-    live = segments.where(~F.col("deleted") & (F.col("status") == "completed"))
-    keyword = keyword_hits(live, query_terms) if query_terms and options.mode in ("full_text", "hybrid") else None
+def retrieve(segments: DataFrame, documents: DataFrame, indexes: DataFrame, datasets: DataFrame, options: Options, semantic: DataFrame | None = None, query_terms: list[str] | None = None, graph: DataFrame | None = None, rerank: DataFrame | None = None, keyword_index: KeywordIndex | None = None) -> DataFrame:
+    """The whole read query, as one plan; keyword_index: the index of the live segments, else their keywords are scanned."""
+    keyword = None
+    if query_terms and options.mode in ("full_text", "hybrid"):
+        if keyword_index is None:
+            keyword = keyword_hits(segments.where(~F.col("deleted") & (F.col("status") == "completed")), query_terms)
+        else:
+            keyword = keyword_recall(segments.sparkSession, keyword_index, query_terms, options.mode, options.score_threshold, options.keyword_weight, semantic)
     visible = visible_segments(segments, documents, indexes, datasets)
     return with_context(ranked(fuse(semantic, keyword, graph, visible, options), rerank), segments, options.top_k)
 

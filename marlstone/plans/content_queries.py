@@ -85,6 +85,21 @@ def _query_vector(spark, sf) -> list[float]:
     return read(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"]
 
 
+_KEYWORD_INDEXES: dict = {}
+
+
+def _keyword_index(spark, sf):
+    """The stored keyword index of the completed segments: built from the tables at first use, read by later questions."""
+    from ..operators import keyword_index as X
+    from ..streaming.ingest import shared_folder
+
+    key = spark.sparkContext.applicationId, sf
+    if key not in _KEYWORD_INDEXES:
+        live = _documents(spark, sf)[0].where("status = 'completed' AND NOT deleted").select("id", "keywords")
+        _KEYWORD_INDEXES[key] = X.build(live.repartition(spark.sparkContext.defaultParallelism), shared_folder(spark, "keyword-index"))
+    return _KEYWORD_INDEXES[key]
+
+
 def _vectors(spark, sf, options: R.Options) -> DataFrame:
     return R.vector_hits(read(spark, sf, "embeddings"), _query_vector(spark, sf), 4 * options.top_k, "vec_id")
 
@@ -127,7 +142,7 @@ def retrieval_query(name: str, sql: str):
   {CONTEXT_SQL.format(t=0.3, rank="before_rank")}""")
 def r2(spark, sf):
     options = R.Options("full_text", 10)
-    return _shown(R.retrieve(*_documents(spark, sf), options, query_terms=_query_terms(spark, sf)))
+    return _shown(R.retrieve(*_documents(spark, sf), options, query_terms=_query_terms(spark, sf), keyword_index=_keyword_index(spark, sf)))
 
 
 @retrieval_query("r1_o1_o2_vector", f"""WITH {RETRIEVAL_CTES}, fused AS (SELECT sem.id, sem.score, 'vector' AS match_type FROM sem JOIN shown USING (id)) {CONTEXT_SQL.format(t=0.05, rank="before_rank")}""")
@@ -143,7 +158,7 @@ HYBRID_SQL = f"""WITH {RETRIEVAL_CTES}, both_hits AS (SELECT coalesce(sem.id, kw
 @retrieval_query("r3_j4_hybrid", HYBRID_SQL + CONTEXT_SQL.format(t=0.05, rank="before_rank"))
 def r3(spark, sf):
     options = R.Options("hybrid", 10, 0.05)
-    return _shown(R.retrieve(*_documents(spark, sf), options, _vectors(spark, sf, options), _query_terms(spark, sf)))
+    return _shown(R.retrieve(*_documents(spark, sf), options, _vectors(spark, sf, options), _query_terms(spark, sf), keyword_index=_keyword_index(spark, sf)))
 
 
 @retrieval_query("r5_o13_rerank", HYBRID_SQL + CONTEXT_SQL.format(t=0.05, rank="(id * 7) % 101 DESC, before_rank"))
@@ -151,7 +166,7 @@ def r5(spark, sf):
     options = R.Options("hybrid", 10, 0.05)
     tables = _documents(spark, sf)
     rerank = tables[0].select("id", ((F.col("id") * 7) % 101).cast("double").alias("score"))
-    return _shown(R.retrieve(*tables, options, _vectors(spark, sf, options), _query_terms(spark, sf), rerank=rerank))
+    return _shown(R.retrieve(*tables, options, _vectors(spark, sf, options), _query_terms(spark, sf), rerank=rerank, keyword_index=_keyword_index(spark, sf)))
 
 
 @query("w3_o3_rank_trace", HYBRID_SQL + """, cand AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS before_rank FROM fused WHERE score >= 0.05)
