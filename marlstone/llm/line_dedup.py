@@ -9,9 +9,9 @@ pages. All lists are broadcast where their total size allows; else the hosts wit
 them large, are shuffled to their lists.
 
 Defined cases: null text is dropped from counts and stays null; a null host is a host of
-its own; blank lines are never boilerplate; a page whose every non-blank line is
-boilerplate keeps its text (it is a copy, which near-duplicate stages settle) unless
-keep_whole is false, as do pages of hosts without boilerplate. Repeated rows count as pages of their own. An
+its own; blank lines are never boilerplate; a page whose every line is boilerplate is left
+with an empty text, which n_lines_dropped shows (keep_whole, off unless asked for, lets pages of
+boilerplate and blank lines alone keep their text); pages of hosts without boilerplate keep theirs. Repeated rows count as pages of their own. An
 empty table gives an empty result; texts are used whole, however long; other columns are kept, whatever their names.
 """
 
@@ -68,7 +68,7 @@ def _with_lists(docs: DataFrame, hosts: DataFrame, host: str, at: str) -> DataFr
     return joined.withColumn(at, F.coalesce(at, mark)).drop(key, mark)
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.08, min_pages: int = 5, keep_whole: bool = True) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.08, min_pages: int = 5, keep_whole: bool = False) -> DataFrame:
     """docs with boilerplate lines removed from text, plus n_lines_dropped (replaced if present)."""
     columns = [c for c in docs.columns if c != "n_lines_dropped"]
     hosts = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages), "host-lines")

@@ -94,11 +94,10 @@ bad AS (
 ), marked AS (SELECT l.*, b.key IS NOT NULL AS dropped FROM lines l LEFT JOIN bad b ON l.source = b.source AND l.key = b.key),
 folded AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped) AS cleaned,
-         count(*) FILTER (WHERE dropped) AS n, count(*) FILTER (WHERE NOT dropped AND key <> '') AS alive
+         count(*) FILTER (WHERE dropped) AS n
   FROM marked GROUP BY doc_id
 )
-SELECT d.doc_id, CASE WHEN alive > 0 THEN cleaned ELSE d.text END AS text,
-       CASE WHEN alive > 0 THEN n ELSE 0 END AS n_lines_dropped
+SELECT d.doc_id, CASE WHEN n > 0 THEN coalesce(cleaned, '') ELSE d.text END AS text, n AS n_lines_dropped
 FROM documents d JOIN folded USING (doc_id)
 """
 

@@ -9,7 +9,7 @@ def test_boilerplate_by_host(spark, prose):
     got = {r.doc_id: (r.text, r.n_lines_dropped) for r in line_dedup.drop_boilerplate(df).collect()}
     assert got[0] == (f"{prose(0, 8)}\n{prose(500, 8)}", 1)
     assert got[100] == (f"{prose(0, 9)}\nSubscribe now", 0)  # 4 of 60 pages are too few
-    assert got[300] == ("Subscribe now", 0) and got[304][1] == 0  # nothing else on the page
+    assert got[300] == ("", 1) and got[304] == ("", 2)  # nothing else on the page
     assert got[305] == ("own line", 1)
     assert got[301] == ("x\ny", 0) and got[302] == (None, 0) and got[303] == ("", 0)
     assert len(got) == len(rows)
@@ -19,7 +19,7 @@ def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "s", "common\nrest")] * 6 + [(k, "s", f"only {k}") for k in range(2, 5)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = line_dedup.drop_boilerplate(df).collect()
-    assert len(got) == 9 and sum(r.text == "common\nrest" for r in got) == 6
+    assert len(got) == 9 and sum(r.text == "" and r.n_lines_dropped == 2 for r in got) == 6
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
@@ -33,10 +33,10 @@ def test_split_hosts_give_the_same(spark, prose, monkeypatch):
     assert all(r[3:6] == (1, 2, 3) for r in plain)
 
 
-def test_pages_of_boilerplate_alone_can_be_emptied(spark):
+def test_pages_of_boilerplate_alone_keep_their_text_on_request(spark):
     df = spark.createDataFrame([(k, "s", "common\nown" + str(k) if k else "common") for k in range(8)], "doc_id long, source string, text string")
-    assert {r.text for r in line_dedup.drop_boilerplate(df).where("doc_id = 0").collect()} == {"common"}
-    assert {(r.text, r.n_lines_dropped) for r in line_dedup.drop_boilerplate(df, keep_whole=False).where("doc_id = 0").collect()} == {("", 1)}
+    assert {(r.text, r.n_lines_dropped) for r in line_dedup.drop_boilerplate(df).where("doc_id = 0").collect()} == {("", 1)}
+    assert {r.text for r in line_dedup.drop_boilerplate(df, keep_whole=True).where("doc_id = 0").collect()} == {"common"}
 
 
 def test_very_long_page(spark):

@@ -14,7 +14,7 @@ def test_oracles(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(n for n in q.QUERIES if n.startswith("op")))
 def test_one_row_for_each_input(spark, name):
     rows, base = q.QUERIES[name](spark, DATA).count(), {"op1": "pages", "op5": "pages", "op7": "pages"}.get(name.split("_")[0], "documents")
-    assert rows == table(spark, DATA, base).count() or name == "op9_decontaminate" and rows > 0
+    assert rows == table(spark, DATA, base).count() or name.split("_")[0] in ("op9", "op11", "op12") and rows > 0
 
 
 @pytest.fixture
