@@ -1,9 +1,15 @@
-"""Benchmark decontamination by seeds that cover every allowed set of substitutions (DataFrame functions only).
+"""Benchmark decontamination by spaced-seed hashing (DataFrame functions only).
 
-An item of n words may lose as many as n less the needed matches to substitutions. It is cut
-into one block more than that, so that at least one block stays whole wherever
-they fall; each block (its first words, where it is long) is a seed. Every position of every
-document is hashed at every seed width in use and joined with the seeds. Each hit fixes a
+A seed is a fixed mask laid over an item: words at the mask's offsets count, those between are ignored. An item of n words
+may lose s = n less the needed matches to substitutions. Its masks are combs:
+
+* one tooth class: offsets 0, b, 2b, ... with b = s + 1, laid at 0 to b - 1. The b placements share no word, so s
+  substitutions leave one of them whole.
+* two tooth classes, for up to PAIRED substitutions where that gives more words: b = s + 2, offsets 0, d, b, b + d, 2b, ... for each d
+  below b, laid at 0 to b - 1 - d. These are all pairs of the b residue classes; s substitutions leave two classes, so one pair, whole.
+
+The number of teeth is that of the shortest items with the same s, and TEETH at most, so items of all lengths share
+few masks. Every position of every document is hashed under every mask in use and joined with the items' seeds. Each hit fixes a
 diagonal (document offset minus item offset); along it the whole item is compared with the
 document, word by word, and the pair is reported when enough words agree. So every
 alignment with enough agreeing words is found, whatever the item's length, down to one
@@ -19,13 +25,15 @@ empty tables give an empty result; texts are used whole, however long; extra col
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, text_key
 
-#: Seeds are the first words of a block, so many at most: bounds the widths hashed at a position.
-WIDEST = 5
+#: Teeth of a mask's class at most, and substitutions up to which masks take two classes.
+TEETH, PAIRED = 4, 4
 #: A seed of the benchmark side takes about 40 bytes and a word 8; up to this many words, so fewer seeds, are broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -36,31 +44,55 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seed(h: Column, i: Column, width: int) -> Column:
-    """64-bit hash of the words at positions i to i + width - 1."""
-    return F.xxhash64(F.lit(width), *[F.get(h, i + p) for p in range(width)])
+def needed(n: int, min_match: float) -> int:
+    """Words of an item of n words that must agree."""
+    return max(1, math.ceil(min_match * n))
+
+
+def masks(n: int, min_match: float) -> list[tuple[tuple[int, ...], int]]:
+    """(offsets, placements) of the masks of an item of n words; a mask is laid at 0 to placements - 1."""
+    lost = n - needed(n, min_match)
+    shortest = n
+    while shortest > 1 and (shortest - 1) - needed(shortest - 1, min_match) == lost:
+        shortest -= 1
+    teeth = lambda b: min(TEETH, shortest // b)
+    one, two = lost + 1, lost + 2
+    if 1 <= lost <= PAIRED and 2 * teeth(two) > teeth(one):
+        return [(tuple(k * two + x for k in range(teeth(two)) for x in (0, d)), two - d) for d in range(1, two)]
+    return [(tuple(k * one for k in range(teeth(one))), one)]
+
+
+def _seed(h: Column, i: Column, offsets: tuple[int, ...]) -> Column:
+    """64-bit hash of the words at the mask's offsets from position i, and of the mask."""
+    return F.xxhash64(F.lit(",".join(map(str, offsets))), *[F.get(h, i + p) for p in offsets])
+
+
+def _placed(offsets: tuple[int, ...], count: int) -> Column:
+    """The mask's seeds (j, seed) at item positions 0 to count - 1."""
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.struct(j.alias("j"), _seed(F.col("h"), j, offsets).alias("seed")))
 
 
 def _needed(n: Column, min_match: float) -> Column:
-    """Words of an item of n words that must agree."""
+    """`needed` as an expression."""
     return F.greatest(F.lit(1), F.ceil(F.lit(min_match) * n)).cast("int")
 
 
-def _item_seeds(items: DataFrame, min_match: float) -> DataFrame:
-    """seed, width, item_id, item_key, j, item_words: one row for each block of each item."""
-    n = F.size("h")
-    blocks = n - _needed(n, min_match) + 1
-    cut = items.select("item_id", "item_key", "h", blocks.alias("blocks"), F.explode(F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1))).alias("b"))
-    edge = lambda b: F.floor(b * F.size("h") / F.col("blocks")).cast("int")
-    at = cut.select("item_id", "item_key", "h", edge(F.col("b")).alias("j"), F.least(F.lit(WIDEST), edge(F.col("b") + 1) - edge(F.col("b"))).alias("width"))
-    seed = F.coalesce(*[F.when(F.col("width") == w, _seed(F.col("h"), F.col("j"), w)) for w in range(1, WIDEST + 1)])
-    return at.select(seed.alias("seed"), "width", "item_id", "item_key", "j", F.size("h").alias("item_words"))
+def _item_seeds(items: DataFrame, lengths: dict[int, list]) -> DataFrame:
+    """seed, item_id, item_key, j, item_words: one row for each placed mask of each item."""
+    by_mask: dict[tuple, list[int]] = {}
+    for n, placed in lengths.items():
+        for mask in placed:
+            by_mask.setdefault(mask, []).append(n)
+    n, none = F.size("h"), F.array().cast("array<struct<j:int,seed:bigint>>")
+    laid = [F.when(n.isin(fits), _placed(offsets, count)).otherwise(none) for (offsets, count), fits in by_mask.items()]
+    at = items.select("item_id", "item_key", n.alias("item_words"), F.explode(F.flatten(F.array(*laid)) if laid else none).alias("s"))
+    return at.select("s.seed", "item_id", "item_key", "s.j", "item_words")
 
 
-def _seeded(df: DataFrame, widths: list[int], *keep: str) -> DataFrame:
-    """keep, i, seed: a row for each width and position, in one pass over each row's words."""
+def _seeded(df: DataFrame, shapes: list[tuple[int, ...]], *keep: str) -> DataFrame:
+    """keep, i, seed: a row for each mask and position, in one pass over each row's words."""
     at = df.select(*keep, "h", F.explode(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))).alias("i"))
-    seeds = F.array(*[_seed(F.col("h"), F.col("i"), w) for w in widths])
+    seeds = F.array(*[_seed(F.col("h"), F.col("i"), x) for x in shapes])
     return at.select(*keep, "i", F.explode(seeds).alias("seed"))
 
 
@@ -71,18 +103,19 @@ def _matches(docs: DataFrame, benchmark: DataFrame, min_match: float, text_col:
     """doc_id, key, key2 (the text's), item_id, item_words, doc_offset, matched_words of every alignment with enough agreeing words."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).withColumn("item_key", F.xxhash64("h"))
     items = materialize(items.dropDuplicates(["item_id", "item_key"]), "benchmark-words")
-    keys = materialize(_item_seeds(items, min_match), "benchmark-seeds")
-    widths = sorted(r["width"] for r in keys.select("width").distinct().collect()) or [1]  # at most WIDEST rows
-    keys = keys.drop("width")
+    # one row for each length in words that an item has
+    lengths = {r["n"]: masks(r["n"], min_match) for r in items.select(F.size("h").alias("n")).where("n > 0").distinct().collect()}
+    keys = materialize(_item_seeds(items, lengths), "benchmark-seeds")
+    shapes = sorted({offsets for placed in lengths.values() for offsets, _ in placed}) or [(0,)]
     bodies = items.select("item_id", "item_key", F.col("h").alias("item_h"))
     key, key2 = text_key(F.col(text_col))
     worded = docs.select("doc_id", key.alias("key"), key2.alias("key2"), word_hashes(F.col(text_col)).alias("h"))
     diagonal = (F.col("i") - F.col("j")).alias("diagonal")
     if items.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
-        hits = _seeded(worded, widths, *_ROW, "h").join(F.broadcast(keys), "seed").select(*_ROW, "h", "item_id", "item_key", "item_words", diagonal)
+        hits = _seeded(worded, shapes, *_ROW, "h").join(F.broadcast(keys), "seed").select(*_ROW, "h", "item_id", "item_key", "item_words", diagonal)
         bodies = F.broadcast(bodies)
     else:
-        hits = _seeded(worded, widths, *_ROW).join(keys, "seed").select(*_ROW, "item_id", "item_key", "item_words", diagonal).distinct()
+        hits = _seeded(worded, shapes, *_ROW).join(keys, "seed").select(*_ROW, "item_id", "item_key", "item_words", diagonal).distinct()
         hits = materialize(hits, "benchmark-hits")
         of = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"]) & (a["key2"] == b["key2"])
         hit_rows = broadcast_if_small(hits.select(*_ROW).distinct())

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -98,3 +99,27 @@ def test_very_long_text_and_clashing_columns(spark, prose):
     bench = spark.createDataFrame([(9, item, 1)], "item_id long, text string, doc_id int")
     assert [(r.doc_id, r.item_id, r.doc_offset) for r in d.find_leaks(docs, bench).collect()] == [(1, 9, 60_000)]
     assert d.drop_leaks(docs, bench).count() == 0
+
+
+def test_masks_cover_every_set_of_substitutions():
+    """Exhaustively for short items, by random and adversarial sets for longer ones."""
+    rng = random.Random(6)
+    for min_match in (0.5, 0.8, 0.9, 1.0):
+        for n in range(1, 60):
+            lost, placed = n - d.needed(n, min_match), d.masks(n, min_match)
+            spots = [frozenset(j + p for p in offsets) for offsets, count in placed for j in range(count)]
+            assert all(max(s) < n and min(s) >= 0 for s in spots)
+            if math.comb(n, lost) <= 20_000:
+                sets = itertools.combinations(range(n), lost)
+            else:
+                step = lost + 1
+                sets = [rng.sample(range(n), lost) for _ in range(500)] + [[(k * step + r) % n for k in range(lost)] for r in range(step)] + [list(range(r, r + lost)) for r in range(n - lost + 1)]
+            assert all(any(s.isdisjoint(gone) for s in spots) for gone in map(frozenset, sets)), (n, min_match)
+
+
+def test_masks_ignore_positions_and_lengths_share_them():
+    for n in range(5, 60):
+        for offsets, _ in d.masks(n, 0.8):
+            assert offsets[0] == 0 and max(offsets) >= len(offsets), "a position between the first and the last is ignored"
+    assert len({o for n in range(1, 60) for o, _ in d.masks(n, 0.8)}) < 30
+    assert [len(d.masks(n, 0.8)[0][0]) for n in (10, 15, 20, 40)] == [4, 6, 6, 4]
