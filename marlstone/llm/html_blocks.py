@@ -12,14 +12,15 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table "
     "tbody td tfoot th thead title tr ul".split()
 )
-HIDDEN = frozenset("script style template noscript iframe object svg math textarea canvas audio video head".split())
-RAW = frozenset("script style textarea title iframe noscript".split())
+HIDDEN = frozenset("script style template iframe svg textarea canvas audio video head".split())
+RAW = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key ends an open element of the value.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+#: A comment ends at `-->` or `--!>`, or at once in `<!-->` and `<!--->`.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S,
 )
 _OPEN = re.compile(r"<!--.*()()()()()()\Z", re.S)
@@ -59,7 +60,7 @@ def leaf_blocks(page: str) -> list[Leaf]:
     def flush() -> None:
         nonlocal link_chars
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
                 leaves.append(Leaf(text, tuple(t for _, tokens in stack for t in tokens), link_chars))
             pieces.clear()
@@ -78,7 +79,7 @@ def leaf_blocks(page: str) -> list[Leaf]:
         stop = tag.start() if tag else end
         if stop > at and not hidden:
             piece = page[at:stop]
-            pieces.append(piece)
+            pieces.append(html.unescape(piece))  # a reference lies within one text node
             if link_depth:
                 link_chars += len(piece)
         if not tag:

@@ -92,3 +92,16 @@ def test_long_attributes_and_unclosed_tags():
     began = time.time()
     assert len(texts("<a " * 100_000)) <= 1 and texts("<p>x</p><!-- open " + "<b " * 50_000) == ["x"]
     assert time.time() - began < 5
+
+
+def test_comment_ends_and_references_by_text_node():
+    texts = lambda page: [x.text for x in leaf_blocks(page)]
+    assert texts("<p>a</p><!--><p>b</p><p>c</p>") == ["a", "b", "c"] == texts("<p>a</p><!---><p>b</p><p>c</p>")
+    assert texts("<p>x<!-- c --!>y</p><p>z</p>") == ["xy", "z"]
+    assert texts("<p>x<!-- > -- > --></p>y<!-- open <p>z</p>") == ["x", "y"]
+    assert texts("<p>AT&am<b>p;T</b> &lt;b&gt; &amp;amp;</p>") == ["AT&amp;T <b> &amp;"]
+
+
+def test_math_object_and_noscript_are_text():
+    page = "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object data=x><p>in place of it</p></object><noscript><p>without scripts</p></noscript>"
+    assert [x.text for x in leaf_blocks(page)] == ["so x=2 holds", "in place of it", "without scripts"]
