@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,9 @@ MAX_SEGMENTS, MAX_BLOCKS, MAX_CHARACTERS, MAX_SCANNED = 10_000, 100_000, 50 * 10
 MOST_BOXES = 100
 SCHEMA = "document_id string, local_id string, parent_local_id string, position int, content string, index_type string, source_metadata string, warning string, error string"
 
+#: Segments after which a task passes on what it holds.
+BATCH_ROWS = 5_000
+
 
 class SegmentationError(ValueError):
     """A configuration or a budget does not allow the segmentation."""
@@ -335,24 +338,31 @@ def segment_documents(blocks: DataFrame, config: Config) -> DataFrame:
     ship_package(blocks.sparkSession)
     config.check()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SCHEMA.split(", ")]
-        for frame in frames:
-            for doc, kind, items in zip(frame["document_id"], frame["source_type"], frame["blocks"], strict=True):
-                rows: list[dict] = []
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.int32() if c.endswith(" int") else pa.string() for c in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+
+        def flushed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for doc, kind, items in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 try:
-                    ordered = sorted(items if items is not None else [], key=lambda x: x["ord"])
+                    ordered = sorted(items or [], key=lambda x: x["ord"])
                     found, warnings = segment([Block(x["text"] or "", x["kind"], json.loads(x["meta"] or "{}")) for x in ordered], config, kind)
-                    rows = [s | {"source_metadata": json.dumps(s["source_metadata"], ensure_ascii=False, sort_keys=True)} for s in found] + [{"warning": json.dumps(w, sort_keys=True)} for w in warnings]
+                    rows += [{**s, "document_id": doc, "source_metadata": json.dumps(s["source_metadata"], ensure_ascii=False, sort_keys=True)} for s in found]
+                    rows += [{"document_id": doc, "warning": json.dumps(w, sort_keys=True)} for w in warnings]
                 except SegmentationError as e:
-                    rows = [{"error": e.code}]
-                if rows:
-                    out = pd.DataFrame(rows, columns=columns).astype(object)
-                    out["document_id"] = doc
-                    out["position"] = out["position"].astype("Int32")
-                    yield out.where(out.notna(), None)
-
-    return blocks.select("document_id", "source_type", "blocks").mapInPandas(run, SCHEMA)
+                    rows.append({"document_id": doc, "error": e.code})
+                if len(rows) >= BATCH_ROWS:
+                    yield flushed()
+            yield flushed()
+
+    return blocks.select(F.col("document_id").cast("string"), "source_type", "blocks").mapInArrow(run, SCHEMA)
 
 
 def hard_ranges(texts: DataFrame, most: int, overlap: int) -> DataFrame:
