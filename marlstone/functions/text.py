@@ -139,8 +139,16 @@ def progress(start: int, end: int, current: Column, total: Column) -> Column:
 
 
 def batch_numbers(df: DataFrame, order: str, size: int) -> DataFrame:
-    """fixed-size batches by row number; numbered over range partitions, so no task takes all rows."""
-    ranged = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    """fixed-size batches by row number; numbered over range partitions, so no task takes all rows.
+
+    The ranges are written once: counts and numbers must see the same ones, whatever adaptive execution makes of a plan.
+    """
+    from ..streaming.ingest import shared_folder
+
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "batches")
+    parted = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    parted.write.parquet(path)
+    ranged = spark.read.schema(parted.schema).parquet(path)
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b.__p") < F.col("a.__p"), "left").groupBy("a.__p").agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
     local = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1

@@ -322,10 +322,10 @@ def f17(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", T.normalise_ocr(noisy).alias("text"))
 
 
-@query("f18_pdf_paragraphs", r"""SELECT doc_id, md5(trim(regexp_replace(replace(replace(regexp_replace(text, E'[ \\t]*\\n[ \\t]*', E'\n', 'g'), E'-\n', ''), E'\n', ' '), '[ \t]+', ' ', 'g'))) AS digest, 1 AS paragraphs FROM documents WHERE text NOT LIKE '%- %'""")
+@query("f18_pdf_paragraphs", r"""SELECT doc_id, md5(trim(regexp_replace(replace(replace(regexp_replace(text, E'[ \\t]*\\n[ \\t]*', E'\n', 'g'), E'-\n', ''), E'\n', ' '), '[ \t]+', ' ', 'g'))) AS digest, 1 AS paragraphs FROM documents""")
 def f18(spark, sf):
     p = T.pdf_paragraphs(F.col("text"))
-    return read(spark, sf, "documents").where("text not like '%- %'").select("doc_id", F.md5(F.array_join(p, "|")).alias("digest"), F.size(p).alias("paragraphs"))
+    return read(spark, sf, "documents").select("doc_id", F.md5(F.array_join(p, "|")).alias("digest"), F.size(p).alias("paragraphs"))
 
 
 @query("f19_f20_f21_lengths", "SELECT doc_id, trim(text) = '' AS blank, length(text) AS n, sha256(text) AS digest FROM documents")
