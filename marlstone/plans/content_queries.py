@@ -56,6 +56,44 @@ def tokens(spark, sf):
     return t.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens"))
 
 
+#: Ideographs that stand for the letters a to z where the tables' texts are written without spaces, as CJK text is.
+HAN = "天地人山水火木金土日月星云雨风花草鸟鱼马牛羊车舟门石"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _unspaced(spark, sf):
+    """Every conversation turn in ideographs: letters are mapped, spaces go, so that words must be found again."""
+    t = read(spark, sf, "conversations")
+    return t.select("conv_id", "turn", F.translate(F.regexp_replace(F.lower("text"), "[ \t]+", ""), LETTERS, HAN).alias("text"))
+
+
+@query("d24_cjk_dictionary", rf"""WITH runs AS (SELECT '^' || unnest(regexp_extract_all(translate(regexp_replace(lower(text), '[ \t]+', '', 'g'), '{LETTERS}', '{HAN}'), '[\x{{4e00}}-\x{{9fff}}]+')) || '$' AS p FROM conversations),
+  placed AS (SELECT p, unnest(range(2, length(p))) AS i FROM runs),
+  occ AS (SELECT substr(p, i, k) AS gram, substr(p, i - 1, 1) AS before, substr(p, i + k, 1) AS after FROM placed, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k <= length(p)),
+  counts AS (SELECT gram, count(*) AS n FROM occ GROUP BY 1), total AS (SELECT sum(n) AS total FROM counts WHERE length(gram) = 1),
+  cuts AS (SELECT gram, n, substr(gram, 1, k) AS a, substr(gram, k + 1) AS b FROM counts, (SELECT unnest([1, 2, 3]) AS k) WHERE k < length(gram) AND n >= 5),
+  held AS (SELECT c.gram, c.n, min(c.n * CAST(total AS DOUBLE) / (CAST(x.n AS DOUBLE) * y.n)) AS cohesion FROM cuts c JOIN counts x ON x.gram = a JOIN counts y ON y.gram = b, total GROUP BY 1, 2),
+  l AS (SELECT gram, ln(sum(m)) - sum(m * ln(m)) / sum(m) AS e FROM (SELECT gram, before, CAST(count(*) AS DOUBLE) AS m FROM occ GROUP BY 1, 2) GROUP BY 1),
+  r AS (SELECT gram, ln(sum(m)) - sum(m * ln(m)) / sum(m) AS e FROM (SELECT gram, after, CAST(count(*) AS DOUBLE) AS m FROM occ GROUP BY 1, 2) GROUP BY 1)
+  SELECT gram AS word, n, round(cohesion, 4) AS cohesion, round(least(l.e, r.e), 4) AS entropy FROM held JOIN l USING (gram) JOIN r USING (gram) WHERE cohesion >= 20 AND least(l.e, r.e) >= 0.5
+  UNION ALL SELECT gram, n, NULL, NULL FROM counts WHERE length(gram) = 1""")
+def d24_dictionary(spark, sf):
+    from ..operators import cjk_words as C
+
+    words = C.dictionary(_unspaced(spark, sf))
+    return words.select("word", "n", F.round("cohesion", 4).alias("cohesion"), F.round("entropy", 4).alias("entropy"))
+
+
+@query("f2_d24_cjk_keywords")
+def f2_cjk(spark, sf):
+    """Keywords of every turn in ideographs, cut by the dictionary of all turns."""
+    from ..operators import cjk_words as C
+
+    texts = _unspaced(spark, sf)
+    cutter = C.dictionary_cutter(C.dictionary(texts))
+    return texts.select("conv_id", "turn", F.array_join(K.ranked_terms(F.col("text"), open_cutter=cutter), ",").alias("keywords")).where("keywords <> ''")
+
+
 def _documents(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """One dataset and index: documents as segments; quality 0 disables and toxic 1 archives a document; every fifth is a parent of the next four."""
     from .model import read as r
