@@ -1,15 +1,17 @@
 """Continuous ingestion: new rows join the current index once.
 
-A file stream is read in micro-batches (T4: maxFilesPerTrigger bounds a slice). Each batch is published
-through an anti-join on stable ids, so a batch that Spark delivers again adds nothing (T3).
+A file stream is read in micro-batches (T4: maxFilesPerTrigger bounds a slice). Ids that the stream has delivered are kept
+as keyed state in RocksDB, changed by each batch's rows alone, so the time of a batch does not grow with the index; rows
+that an upstream delivers again, in whatever file, add nothing (T3). A batch that Spark itself repeats after a failure replaces
+its own folder.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,35 +36,55 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def indexed(batch: DataFrame) -> DataFrame:
+    """The index's columns of a batch."""
     return batch.select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"), ranked_terms(F.col("text")).alias("keywords"))
 
 
-def publish(batch: DataFrame, target: str) -> None:
-    """Append the batch's rows whose id the index lacks."""
-    rows = indexed(batch).dropDuplicates(["id"])
-    try:
-        known = batch.sparkSession.read.schema(INDEX).parquet(target).select("id")
-        rows = rows.join(known, "id", "left_anti")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    rows.write.mode("append").parquet(target)
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def start(spark: SparkSession, source: str, target: str, checkpoint: str, every: str | None = None, files: int = 100):
-    """A query that publishes source (Parquet folder) to target; every: polling interval, else what is there now."""
+    """A query that adds source (Parquet folder) to target, each doc_id once; every: polling interval, else what is there now.
+
+    A restart with the same checkpoint knows all earlier ids.
+    """
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: publish(batch, target))
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).dropDuplicates(["doc_id"])
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def add(batch: DataFrame, number: int) -> None:
+        indexed(batch).write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
+
+    before = {name: spark.conf.get(name, None) for name in _STATE}
+    for name, value in _STATE.items():
+        spark.conf.set(name, value)
+    try:  # a query takes the session's settings when it starts
+        writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def index(spark: SparkSession, target: str) -> DataFrame:
+    """What the batches of all runs have added."""
+    return spark.read.schema(INDEX).option("basePath", target).parquet(f"{target}/run=*/batch=*")
 
 
 def ingest_available(spark: SparkSession, source: str) -> DataFrame:
-    """Publish all of source to a fresh index, then the same again, which must change nothing; the index."""
-    target = shared_folder(spark, "stream-index")
+    """Add all of source to a fresh index, then all of it again as files of another name, which must change nothing; the index."""
+    target, checkpoint, inbox = (shared_folder(spark, n) for n in ("stream-index", "stream-checkpoint", "stream-inbox"))
+    rows = spark.read.parquet(_folder(source))
     for _ in range(2):
-        start(spark, _folder(source), target, shared_folder(spark, "stream-checkpoint")).awaitTermination()
-    return spark.read.schema(INDEX).parquet(target)
+        rows.write.mode("append").parquet(inbox)
+        start(spark, inbox, target, checkpoint).awaitTermination()
+    return index(spark, target)
 
 
 def _folder(source: str) -> str:
