@@ -87,6 +87,22 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield cut(kind)
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each value among the distinct ones, those in order, and a place of each."""
+    order = np.argsort(values)
+    ordered = values[order]
+    heads = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(values)]
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(heads) - 1
+    return number, ordered[heads], order[heads]
+
+
+def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of an n-gram from those of its beginning and its last word."""
+    mixed = (before ^ (before >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + word * np.uint64(0x94D049BB133111EB)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
 class Chunk:
     """A chunk's texts as one row of word numbers, and its n-grams of every order up to the highest."""
 
@@ -106,20 +122,21 @@ class Chunk:
         trained = ~np.repeat(self.held, self.lengths)
         #: By order from 1: keys; number of the n-gram that ends at each place (-1: none); a place of each; training count in the chunk.
         self.keys, self.at, self.where, self.counts = [None], [None], [None], [None]
-        mixed = words[self.t]
         for n in range(1, order + 1):
-            if n > 1:
-                before = np.concatenate([[np.uint64(0)], mixed[:-1]])
-                mixed = (before ^ (before >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words[self.t] * np.uint64(0x94D049BB133111EB)
-                mixed ^= mixed >> np.uint64(31)
             valid = np.flatnonzero(place >= n - 1)
-            keys, some, number = np.unique(mixed[valid], return_index=True, return_inverse=True)
+            if n == 1:
+                keys, number, some = words, self.t, np.empty(len(words), np.int64)
+                some[self.t] = valid
+            else:
+                number, distinct, some = _numbered(self.at[n - 1][valid - 1] * self.width + self.t[valid])
+                some = valid[some]
+                keys = _mixed(self.keys[n - 1][distinct // self.width], words[distinct % self.width])
             at = np.full(len(self.t), -1, np.int64)
             at[valid] = number
             counted = valid[trained[valid] & (place[valid] > 0)]
             self.keys.append(keys)
             self.at.append(at)
-            self.where.append(valid[some])
+            self.where.append(some)
             self.counts.append(np.bincount(at[counted], minlength=len(keys)))
 
     def contexts(self, n: int) -> np.ndarray:
@@ -166,10 +183,12 @@ def _answer(asked: pa.Table) -> pa.Table:
     """All requests of a bucket to the answers, and one row (chunk -1) of the bucket's own counts."""
     keys = [np.frombuffer(x, np.uint64) for x in asked.column("keys").to_pylist()]
     stats = np.concatenate([_unpacked(x, np.int64).reshape(3, -1) for x in asked.column("stats").to_pylist()], axis=1)
-    distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-    order = np.argsort(number, kind="stable")
-    heads = np.searchsorted(number[order], np.arange(len(distinct)))
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    heads = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
     totals = np.add.reduceat(stats[:, order], heads, axis=1)
+    number = np.empty(len(every), np.int64)
+    number[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(every))))
     trained = order[stats[0][order] > 0]
     owner = trained[np.concatenate([[True], number[trained][1:] != number[trained][:-1]])] if len(trained) else trained
     owned = np.zeros(len(number), bool)
@@ -195,41 +214,52 @@ class Automaton:
         self.width = chunk.width
         first = np.cumsum([0, 1, *(len(chunk.keys[k]) for k in range(1, chunk.order))])
         state = lambda k, number: first[k] + number if k else np.zeros_like(number)
-        unigram = (totals[1][0] + 1) / (tokens + types + 1)
-        # probability of the last word of each n-gram, by order; arcs and failures as flat lists
-        p, arcs, weights, targets, fails, fallbacks = unigram, [], [], [], [np.zeros(1)], [np.zeros(1, np.int64)]
+        p = (totals[1][0] + 1) / (tokens + types + 1)
+        words = chunk.t[chunk.where[1]]
+        # the root has an arc for every word
+        root, onward = np.zeros(chunk.width), np.zeros(chunk.width, np.int64)
+        root[words] = np.log10(p)
+        if chunk.order > 1:
+            onward[words] = state(1, np.arange(len(words)))
+        arcs, weights, targets, fails, fallbacks = [], [], [], [np.zeros(1)], [np.zeros(1, np.int64)]
         for k in range(1, chunk.order + 1):
             place = chunk.where[k]
             if k > 1:
                 before = chunk.contexts(k)
                 c, followers = totals[k - 1][1][before], totals[k - 1][2][before]
                 base = p[chunk.at[k - 1][place]]
-                seen = c > 0
-                c = np.maximum(c, 1)
-                p = np.where(seen, np.maximum(totals[k][0] - discounts[k], 0) / c + discounts[k] * followers / c * base, base)
-            source = state(k - 1, chunk.contexts(k)) if k > 1 else np.zeros(len(place), np.int64)
-            known = totals[k][0] > 0 if k > 1 else np.ones(len(place), bool)
-            target = state(k, np.arange(len(place))) if k < chunk.order else state(k - 1, chunk.at[k - 1][place]) if k > 1 else np.zeros(len(place), np.int64)
-            arcs.append((source * self.width + chunk.t[place])[known])
-            weights.append(np.log10(p)[known])
-            targets.append(target[known])
+                p = np.where(c > 0, np.maximum(totals[k][0] - discounts[k], 0) / np.maximum(c, 1) + discounts[k] * followers / np.maximum(c, 1) * base, base)
+                known = totals[k][0] > 0
+                target = state(k, np.arange(len(place))) if k < chunk.order else state(k - 1, chunk.at[k - 1][place])
+                arcs.append((state(k - 1, before) * self.width + chunk.t[place])[known])
+                weights.append(np.log10(p[known]))
+                targets.append(target[known])
             if k < chunk.order:
                 c, followers = totals[k][1], totals[k][2]
                 fails.append(np.where(c > 0, np.log10(np.where(c > 0, discounts[k + 1] * followers, 1) / np.maximum(c, 1)), 0.0))
                 fallbacks.append(state(k - 1, chunk.at[k - 1][place]) if k > 1 else np.zeros(len(place), np.int64))
-        self.arcs = dict(zip(np.concatenate(arcs).tolist(), zip(np.concatenate(weights).tolist(), np.concatenate(targets).tolist(), strict=True), strict=True))
-        self.fails = list(zip(np.concatenate(fails).tolist(), np.concatenate(fallbacks).tolist(), strict=True))
+        flat = lambda parts: np.concatenate(parts).tolist() if parts else []
+        self.weights, self.targets, self.fails, self.fallbacks = flat(weights), flat(targets), flat(fails), flat(fallbacks)
+        self.arcs = dict(zip(flat(arcs), range(len(self.weights)), strict=True))
+        self.root, self.onward = root.tolist(), onward.tolist()
         self.initial = int(state(1, chunk.at[1][chunk.begin[:1]])[0]) if chunk.order > 1 else 0
 
     def score(self, words: list[int]) -> float:
-        """log10 probability of a text, its end token last."""
-        total, state, arcs, fails, width = 0.0, self.initial, self.arcs, self.fails, self.width
+        """log10 probability of a text, its end token last; state 0 is the root."""
+        total, state, width, find = 0.0, self.initial, self.width, self.arcs.get
+        weights, targets, fails, fallbacks, root, onward = self.weights, self.targets, self.fails, self.fallbacks, self.root, self.onward
         for w in words:
-            while (arc := arcs.get(state * width + w)) is None:
-                weight, state = fails[state]
-                total += weight
-            total += arc[0]
-            state = arc[1]
+            while state:
+                arc = find(state * width + w)
+                if arc is not None:
+                    total += weights[arc]
+                    state = targets[arc]
+                    break
+                total += fails[state]
+                state = fallbacks[state]
+            else:
+                total += root[w]
+                state = onward[w]
         return total
 
 
