@@ -574,6 +574,17 @@ def j10(spark, sf):
     return G.mentioned_entities(_graph(spark, sf)[0], _question(spark, sf)).select("entity_id")
 
 
+@query("j10_turn_mentions", r"""WITH names AS (SELECT min(doc_id) AS entity_id, name FROM (SELECT doc_id, regexp_extract(lower(text), '^[^a-z]*[a-z]+[^a-z]+([a-z]+)', 1) AS name FROM documents) WHERE name <> '' GROUP BY name)
+  SELECT conv_id, turn, entity_id FROM conversations JOIN names ON contains(lower(text), name) WHERE length(name) >= 2""")
+def j10_turns(spark, sf):
+    """Every conversation turn against the second word of every document as entity names."""
+    from ..operators.mentions import mentions
+
+    name = F.regexp_extract(F.lower("text"), "^[^a-z]*[a-z]+[^a-z]+([a-z]+)", 1).alias("name")
+    entities = read(spark, sf, "documents").select("doc_id", name).where("name <> ''").groupBy("name").agg(F.min("doc_id").alias("entity_id"))
+    return mentions(read(spark, sf, "conversations").select("conv_id", "turn", "text"), entities)
+
+
 @query("j11_o11_r4_graph_hits", f"""WITH {GRAPH_SQL}, reach AS (SELECT id FROM seeds UNION SELECT b FROM rel WHERE a IN (SELECT id FROM seeds) AND b IS NOT NULL UNION SELECT a FROM rel WHERE b IN (SELECT id FROM seeds))
   SELECT DISTINCT s_suppkey AS id, CAST(1 AS DOUBLE) AS score FROM supplier WHERE s_nationkey IN (SELECT id FROM reach) ORDER BY id LIMIT 20""")
 def j11(spark, sf):
