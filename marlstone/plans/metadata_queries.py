@@ -139,6 +139,17 @@ def p2(spark, sf):
     return M.datasets(spark, sf).where(R.matches("00_1")).select("id", "name")
 
 
+@query("p2_indexed_search", "SELECT id, name FROM datasets WHERE name ILIKE '%r#000_01%' OR description ILIKE '%r#000_01%' OR dataset_type ILIKE '%r#000_01%'")
+def p2_indexed(spark, sf):
+    """The same search through trigrams, for a pattern long enough to have some."""
+    from ..operators import substring_index as X
+    from ..streaming.ingest import shared_folder
+
+    rows, columns = M.datasets(spark, sf).select("id", "name", "description", "dataset_type"), ("name", "description", "dataset_type")
+    index = X.build(rows, columns, shared_folder(spark, "trigrams"))
+    return X.search(index, rows, columns, "r#000_01").select("id", "name")
+
+
 @query("p3_visibility", "SELECT id, permission FROM datasets WHERE permission IN ('public', 'all_members')")
 def p3(spark, sf):
     return M.datasets(spark, sf).where(R.visible("public")).select("id", "permission")
