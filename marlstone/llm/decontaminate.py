@@ -15,9 +15,9 @@ document, word by word, and the pair is reported when enough words agree. So eve
 alignment with enough agreeing words is found, whatever the item's length, down to one
 word.
 
-The benchmark side is broadcast only after its size is checked; texts are not shuffled then. Beyond the bound
-seeds alone are shuffled (a very common seed is split by adaptive execution), and the texts that have hits
-are joined back. Defined cases: null or empty texts have no hits; a document's end counts
+The benchmark side is broadcast only after its size is checked; beyond the bound
+seeds alone are shuffled (a very common seed is split by adaptive execution). The texts that have hits are joined back to them,
+no others are shuffled. Defined cases: null or empty texts have no hits; a document's end counts
 as substitutions of the words beyond it; at least one word must agree; rows repeated in either
 table give one row for each distinct (doc_id, item_id), the best alignment of all texts of that id; a null id is an id;
 empty tables give an empty result; texts are used whole, however long; extra columns are ignored.
@@ -26,6 +26,8 @@ empty tables give an empty result; texts are used whole, however long; extra col
 from __future__ import annotations
 
 import math
+import zlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ from .common import broadcast_if_small, materialize, text_key
 
 #: Teeth of a mask's class at most, and substitutions up to which masks take two classes.
 TEETH, PAIRED = 4, 4
+#: Words that the masks of one pass over the texts read.
+LOADS = 56
 #: A seed of the benchmark side takes about 40 bytes and a word 8; up to this many words, so fewer seeds, are broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -62,14 +66,14 @@ def masks(n: int, min_match: float) -> list[tuple[tuple[int, ...], int]]:
     return [(tuple(k * one for k in range(teeth(one))), one)]
 
 
-def _seed(h: Column, i: Column, offsets: tuple[int, ...]) -> Column:
-    """64-bit hash of the words at the mask's offsets from position i, and of the mask."""
-    return F.xxhash64(F.lit(",".join(map(str, offsets))), *[F.get(h, i + p) for p in offsets])
+def _seed(offsets: tuple[int, ...], words: list[Column]) -> Column:
+    """64-bit hash of the words at a mask's offsets, and of the mask."""
+    return F.xxhash64(F.lit(zlib.crc32(",".join(map(str, offsets)).encode())), *words)
 
 
 def _placed(offsets: tuple[int, ...], count: int) -> Column:
     """The mask's seeds (j, seed) at item positions 0 to count - 1."""
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.struct(j.alias("j"), _seed(F.col("h"), j, offsets).alias("seed")))
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.struct(j.alias("j"), _seed(offsets, [F.get("h", j + p) for p in offsets]).alias("seed")))
 
 
 def _needed(n: Column, min_match: float) -> Column:
@@ -89,11 +93,18 @@ def _item_seeds(items: DataFrame, lengths: dict[int, list]) -> DataFrame:
     return at.select("s.seed", "item_id", "item_key", "s.j", "item_words")
 
 
-def _seeded(df: DataFrame, shapes: list[tuple[int, ...]], *keep: str) -> DataFrame:
-    """keep, i, seed: a row for each mask and position, in one pass over each row's words."""
+def _seeded(df: DataFrame, shapes: list[tuple[int, ...]], *keep: str) -> list[DataFrame]:
+    """keep, i, seed: in all parts together a row for each mask and position. Masks of LOADS words together take one pass over the texts, as the compiled code of more is slow."""
+    groups, room = [[]], LOADS
+    for shape in shapes:
+        if groups[-1] and len(shape) > room:
+            groups.append([])
+            room = LOADS
+        groups[-1].append(shape)
+        room -= len(shape)
     at = df.select(*keep, "h", F.explode(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1))).alias("i"))
-    seeds = F.array(*[_seed(F.col("h"), F.col("i"), x) for x in shapes])
-    return at.select(*keep, "i", F.explode(seeds).alias("seed"))
+    word = lambda p: F.get("h", F.col("i") + p)
+    return [at.select(*keep, "i", F.explode(F.array(*[_seed(x, [word(p) for p in x]) for x in group])).alias("seed")) for group in groups]
 
 
 _ROW = ["doc_id", "key", "key2"]
@@ -111,16 +122,15 @@ def _matches(docs: DataFrame, benchmark: DataFrame, min_match: float, text_col:
     key, key2 = text_key(F.col(text_col))
     worded = docs.select("doc_id", key.alias("key"), key2.alias("key2"), word_hashes(F.col(text_col)).alias("h"))
     diagonal = (F.col("i") - F.col("j")).alias("diagonal")
-    if items.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
-        hits = _seeded(worded, shapes, *_ROW, "h").join(F.broadcast(keys), "seed").select(*_ROW, "h", "item_id", "item_key", "item_words", diagonal)
-        bodies = F.broadcast(bodies)
-    else:
-        hits = _seeded(worded, shapes, *_ROW).join(keys, "seed").select(*_ROW, "item_id", "item_key", "item_words", diagonal).distinct()
-        hits = materialize(hits, "benchmark-hits")
-        of = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"]) & (a["key2"] == b["key2"])
-        hit_rows = broadcast_if_small(hits.select(*_ROW).distinct())
-        texts = worded.join(hit_rows, of(worded, hit_rows), "left_semi").dropDuplicates(_ROW)
-        hits = hits.join(texts, of(hits, texts)).select(*[hits[c] for c in hits.columns], texts["h"])
+    small = items.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    # each part meets the seeds before the parts are put together: few rows come through
+    parts = [p.join(F.broadcast(keys) if small else keys, "seed").select(*_ROW, "item_id", "item_key", "item_words", diagonal) for p in _seeded(worded, shapes, *_ROW)]
+    hits = materialize(reduce(DataFrame.unionAll, parts).distinct(), "benchmark-hits")
+    bodies = F.broadcast(bodies) if small else bodies
+    of = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"]) & (a["key2"] == b["key2"])
+    hit_rows = broadcast_if_small(hits.select(*_ROW).distinct())
+    texts = worded.join(hit_rows, of(worded, hit_rows), "left_semi").dropDuplicates(_ROW)
+    hits = hits.join(texts, of(hits, texts)).select(*[hits[c] for c in hits.columns], texts["h"])
     # the item's stretch of the document, cut at the document's ends
     stretch = F.slice("h", F.greatest(F.lit(1), F.col("diagonal") + 1), F.col("item_words") + F.least(F.lit(0), F.col("diagonal")))
     aligned = hits.select(*_ROW, "item_id", "item_key", "item_words", "diagonal", stretch.alias("stretch")).join(bodies, ["item_id", "item_key"])
