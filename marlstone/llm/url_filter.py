@@ -2,7 +2,7 @@
 
 The trees see lexical features alone: lengths, path depth, digit ratio, character entropy,
 counts of parameters, hyphens and labels, and the smoothed block rate of the host's
-suffix. They are trained here from labelled URLs: features are cut into at most
+public suffix, backed off to its last label and to the prior. They are trained here from labelled URLs: features are cut into at most
 BINS bins, gradients are summed by (node, feature, bin) in one aggregation a level, and the
 driver sees only these sums to choose splits. A finished model is a sum of CASE expressions.
 
@@ -28,6 +28,8 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "host_entropy", "path_entropy", "parameters", "hyphens", "labels", "longest_label", "suffix_rate")
 BINS = 16
+#: Hosts below a pair of labels that make it a public suffix, and rows that a suffix's prior counts for.
+PUBLIC_HOSTS, BACKING = 20, 20
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -80,7 +82,8 @@ def features(urls: DataFrame, suffix_rates: dict[str, float], prior: float, url_
     labels = F.split(host, r"\.")
     rates = F.lit(None).cast("double")
     if suffix_rates:
-        rates = F.create_map(*[F.lit(x) for k, v in sorted(suffix_rates.items()) for x in (k, v)])[F.element_at(labels, -1)]
+        rates = F.create_map(*[F.lit(x) for k, v in sorted(suffix_rates.items()) for x in (k, v)])
+        rates = F.coalesce(rates[F.concat_ws(".", F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)))], rates[F.element_at(labels, -1)])
     columns = {
         "length": F.length(url),
         "host_length": F.length(host),
@@ -120,39 +123,82 @@ class Model:
         return total
 
 
-#: Promotional words of the built-in labelled set.
-PROMO = ("cheap", "free", "casino", "spam", "ads", "win", "best", "hot", "buy", "click", "bonus", "loan", "bets", "pills", "track", "farm", "deals", "prize", "poker", "meds", "cash", "slots")
+#: Kinds of hosts and paths in the built-in labelled set: those to block, then the others.
+BLOCKED = ("generated", "redirect", "doorway", "lookalike")
+ORDINARY = ("news", "shop", "manual", "society", "personal")
 
 
-def labelled_urls(spark: SparkSession, n: int = 6000, start: int = 0, promo: tuple[str, ...] = PROMO) -> DataFrame:
-    """url, label (1: block): rows start to start + n of a built-in labelled set, made by rule from small fixed word lists.
+def labelled_urls(spark: SparkSession, n: int = 8000, start: int = 0, kinds: tuple[str, ...] = BLOCKED + ORDINARY) -> DataFrame:
+    """url, kind, label (1: block): rows start to start + n of a built-in labelled set, made by rule; kinds: those that hosts may have.
 
-    Advertising, gambling and spam hosts join promotional words, mostly with hyphens or
-    digits; ordinary hosts are pronounceable names, few of them with hyphens or digits. Paths, languages and parameters are mixed alike.
-    It stands in where no labelled table is at hand; train() takes any table of url and label.
+    It follows how unwanted URLs are known to look, not any table: hosts made by generators (long labels of mixed letters and
+    digits), redirects with many long parameters, doorway pages on deep subdomains, and lookalikes that join words by hyphens. The
+    ordinary kinds have hyphens, digits, depth and parameters too: dated news, product numbers, manuals, hyphenated
+    societies. No single sign decides: host, path and suffix are drawn apart, and each is one of the other side in a fifth of the
+    rows. train() takes any table of url and label.
     """
-    sounds = ["an", "ber", "ca", "do", "el", "fi", "gra", "ho", "in", "ka", "lo", "mer", "no", "or", "pe", "qui", "ra", "son", "ti", "tion", "th", "und", "ver", "wa", "ing", "ou"]
-    tails = ["", "", ".html", "/", "?page=2&ref=x", "?utm_source=feed", "#top", "?id=7&cat=3&sort=asc", "/index.php", "/2019/05/news"]
-    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
-    bad = F.pmod(F.xxhash64("id", F.lit("label")), F.lit(4)) == 0
-    good_host = F.concat(pick(sounds, "a"), pick(sounds, "b"), pick(["", *sounds], "c"), pick(["", "", *sounds], "d"), pick(["", "", "", "", "", "", "", "", "", "", "", "", "-shop", "2"], "o"))
-    bad_host = F.concat(pick(promo, "e"), pick(["-", "-", "-", "-24", "-4u-", "", "4"], "f"), pick(promo, "g"), pick(["", "", "", "-online", "77"], "h"))
-    host = F.concat(pick(["", "www.", "blog.", "m.", ""], "i"), F.when(bad, bad_host).otherwise(good_host), pick([".example", ".example", "", ".co"], "j"), F.lit("."), pick(["com", "org", "net", "info", "de"], "k"))
-    number = F.pmod(F.xxhash64("id", F.lit("n")), F.lit(10_000)).cast("string")
-    url = F.concat(pick(["http://", "https://"], "s"), host, F.lit("/"), pick(["en/", "de/", "fr/", "es/", ""], "l"), number, pick(tails, "t"))
-    return spark.range(start, start + n).select(url.alias("url"), bad.cast("int").alias("label"))
-
-
-def train(labelled: DataFrame, trees: int = 10, depth: int = 3, rate: float = 0.4, least: int = 8, max_rows: int = 20_000) -> Model:
-    """Fit the trees on (url, label) rows; rows without label take no part."""
+    words = ["river", "garden", "school", "music", "travel", "recipe", "weather", "museum", "science", "house", "light", "stone", "market", "letter", "window", "harbor", "forest", "winter", "letterbox", "cloud"]
+    salted = lambda salt: F.xxhash64("id", F.lit(salt))
+    number = lambda salt, most: F.pmod(salted(salt), F.lit(most))
+    pick = lambda of, salt: F.element_at(F.array(*map(F.lit, of)), (number(salt, len(of)) + 1).cast("int"))
+    noise = lambda salt, size: F.substring(F.md5(salted(salt).cast("string")), 1, size)
+    join = lambda sep, *x: F.concat_ws(sep, *x)
+    word = lambda salt: pick(words, salt)
+    date = join("/", number("y", 12) + 2012, number("m", 12) + 1, number("d", 28) + 1)
+    hosts = {
+        "generated": F.concat(noise("h1", 9), F.lpad(noise("h2", 8), 12, "qzx")),
+        "redirect": F.concat(pick(["go", "r", "out", "ref"], "s"), F.lit("."), word("a"), noise("h1", 3)),
+        "doorway": join(".", word("a"), word("b"), noise("h1", 4), word("c")),
+        "lookalike": F.concat(join("-", word("a"), word("b"), word("c")), F.lit("-"), noise("h1", 2)),
+        "news": F.concat(word("a"), word("b")),
+        "shop": F.concat(pick(["www.", "", "shop."], "s"), word("a"), pick(["", "-", "24"], "t"), word("b")),
+        "manual": F.concat(F.lit("docs."), word("a")),
+        "society": join("-", word("a"), word("b")),
+        "personal": F.concat(word("a"), pick(["", "", "7", "blog"], "t")),
+    }
+    paths = {
+        "generated": F.concat(F.lit("/"), noise("p1", 5)),
+        "redirect": F.concat(F.lit("/c?uid="), noise("p1", 24), F.lit("&sub="), noise("p2", 12), F.lit("&cid="), number("k", 999_999), F.lit("&to="), noise("p3", 16)),
+        "doorway": F.concat(F.lit("/"), join("/", word("d"), word("e"), word("f"), word("g")), F.lit(".php")),
+        "lookalike": F.concat(F.lit("/"), join("-", word("d"), word("e")), pick(["", "/login", "?verify=1"], "t")),
+        "news": F.concat(F.lit("/"), date, F.lit("/"), join("-", word("d"), word("e"), word("f")), pick(["", ".html"], "t")),
+        "shop": F.concat(F.lit("/item/"), number("k", 99_999), pick(["", "?size=4", "?size=4&color=2"], "u")),
+        "manual": F.concat(F.lit("/v"), number("k", 9), F.lit("/"), join("/", word("d"), word("e"), word("f")), pick(["", "#usage"], "t")),
+        "society": F.concat(F.lit("/"), word("d"), pick(["", "/members", ".html"], "t")),
+        "personal": pick(["/", "", "/about", "/photos/12"], "u"),
+    }
+    bad = number("side", 2) == 0
+    swapped = lambda salt: bad != (number(salt, 5) == 0)
+    either = lambda blocked, ordinary, salt: F.when(swapped(f"swap-{salt}"), pick(blocked, salt)).otherwise(pick(ordinary, salt))
+    kind = either(*([k for k in side if k in kinds] or list(side) for side in (BLOCKED, ORDINARY)), "host")
+    path = either(BLOCKED, ORDINARY, "path")
+    suffix = either(["xyz", "top", "click", "info", "biz", "co.at"], ["org", "edu", "com", "net", "de", "ac.uk"], "suffix")
+    of = lambda table, which: F.coalesce(*[F.when(which == k, table[k]) for k in table])
+    url = F.concat(pick(["http://", "https://"], "scheme"), of(hosts, kind), F.lit("."), suffix, of(paths, path))
+    return spark.range(start, start + n).select(url.alias("url"), kind.alias("kind"), bad.cast("int").alias("label"))
+
+
+def _suffix_rates(rows: DataFrame) -> tuple[float, dict[str, float]]:
+    """Prior block rate, and the rate of every last label, backed off to the prior, and of every public pair of labels, backed off to the last.
+
+    A pair is public where PUBLIC_HOSTS hosts at least stand below it. There are no more suffixes than labelled rows, which are bounded.
+    """
+    host, _ = parts(F.col("url"))
+    labels = F.split(host, r"\.")
+    named = rows.select("label", host.alias("host"), F.element_at(labels, -1).alias("last"), F.when(F.size(labels) > 2, F.concat_ws(".", F.slice(labels, -2, 2))).alias("pair"))
+    sums = [F.sum("label").alias("bad"), F.count("*").alias("n")]
+    lasts = named.groupBy("last").agg(*sums).collect()
+    pairs = named.where("pair IS NOT NULL").groupBy("pair").agg(*sums, F.countDistinct("host").alias("hosts")).where(F.col("hosts") >= PUBLIC_HOSTS).collect()
+    prior = (sum(r["bad"] for r in lasts) + 1) / (sum(r["n"] for r in lasts) + 2)
+    rates = {r["last"]: (r["bad"] + BACKING * prior) / (r["n"] + BACKING) for r in lasts}
+    return prior, rates | {r["pair"]: (r["bad"] + BACKING * rates[r["pair"].rpartition(".")[2]]) / (r["n"] + BACKING) for r in pairs}
+
+
+def train(labelled: DataFrame, trees: int = 10, depth: int = 3, rate: float = 0.4, least: int = 8, max_rows: int = 20_000, without: tuple[str, ...] = ()) -> Model:
+    """Fit the trees on (url, label) rows; rows without label take no part. without: features that the trees may not use."""
     rows = labelled.where("url IS NOT NULL AND label IS NOT NULL").select("url", F.col("label").cast("double").alias("label"))
     rows = materialize(rows.orderBy(F.xxhash64("url"), "url", "label").limit(max_rows), "labelled-urls")
-    host, _ = parts(F.col("url"))
-    suffix = F.element_at(F.split(host, r"\."), -1)
-    by_suffix = rows.groupBy(suffix.alias("s")).agg(F.sum("label").alias("bad"), F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(1000).collect()
-    total = sum(r["n"] for r in by_suffix)
-    prior = (sum(r["bad"] for r in by_suffix) + 1) / (total + 2)
-    rates = {r["s"]: (r["bad"] + 20 * prior) / (r["n"] + 20) for r in by_suffix}
+    prior, rates = _suffix_rates(rows)
     table = features(rows, rates, prior)
     quantiles = table.agg(*[F.percentile_approx(f"f_{f}", [k / BINS for k in range(1, BINS)], 1000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(quantiles[f] or [])) for f in FEATURES}
@@ -181,7 +227,7 @@ def train(labelled: DataFrame, trees: int = 10, depth: int = 3, rate: float = 0.
             following = []
             for path in level:
                 best = None
-                for f in FEATURES:
+                for f in [f for f in FEATURES if f not in without]:
                     own = sorted((c["b"], c["g"], c["h"], c["n"]) for c in cells if c["node"] == path and c["f"] == f)
                     g, h, n = (sum(c[k] for c in own) for k in (1, 2, 3))
                     gl = hl = nl = 0
