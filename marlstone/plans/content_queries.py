@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import graph as G
 from ..operators import keywords as K
+from ..operators import long_texts as L
 from ..operators import ocr as O
 from ..operators import retrieval as R
 from ..operators import segmentation as S
@@ -406,6 +407,24 @@ def f1_hard(spark, sf):
     return S.hard_ranges(t, 200, 20).select(F.col("document_id").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in ("position", "start", "end")])
 
 
+#: str.isspace as a class, and F1's boundary classes for the separator "\\n", each up to its rightmost mark.
+_BLANK = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_MARKED = "".join(f"WHEN length(regexp_extract(w, '(?s)^.*{m}')) > lead THEN length(regexp_extract(w, '(?s)^.*{m}')) " for m in (r"\n", r"\n\n", "[。！？；]", "[.!?;]", r"[ \t]"))
+
+
+@query("f1_boundary_ranges", f"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+  r AS (SELECT doc_id, n, CAST(NULL AS BIGINT) AS s, CAST(50 AS BIGINT) AS e FROM t
+  UNION ALL SELECT doc_id, n, s, CASE WHEN s + 500 >= n THEN n WHEN mark - 50 >= 225 THEN s + mark ELSE s + 500 END
+    FROM (SELECT *, CASE {_MARKED} END AS mark FROM (SELECT *, length(regexp_extract(w, '^[{_BLANK}]*')) AS lead
+      FROM (SELECT r.doc_id, r.n, r.e - 50 AS s, substr(t.text, r.e - 49, 500) AS w FROM r JOIN t USING (doc_id) WHERE r.s IS NULL OR r.e < r.n))))
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS position, s AS start, e AS "end", sha256(content) AS digest
+  FROM (SELECT r.doc_id, s, e, substr(text, s + 1, e - s) AS content FROM r JOIN t USING (doc_id) WHERE s IS NOT NULL) WHERE regexp_matches(content, '[^{_BLANK}]')""")
+def f1_boundaries(spark, sf):
+    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    found = L.cut_texts(texts, S.Config(max_length=500, overlap=50))
+    return found.select(F.col("document_id").alias("doc_id"), "position", "start", "end", F.sha2("content", 256).alias("digest"))
+
+
 def _blocks(spark, sf) -> DataFrame:
     block = F.struct(F.lit(0).alias("ord"), F.lit("paragraph").alias("kind"), F.col("text"), F.lit('{"line_start": 1}').alias("meta"))
     return read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("text").alias("source_type"), F.array(block).alias("blocks"))
