@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import clamp, cosine, dot, doubles, norm, result_score
+from ..functions.vectors import clamp, cosine, doubles, result_score
+from ..shipping import bound_batches, ship_package
 from .keyword_index import KeywordIndex, keyword_recall
+from .vector_blocks import leading, packed
 
 DEFAULTS = {"mode": "hybrid", "top_k": 5, "score_threshold": 0.3, "semantic_weight": 0.7, "keyword_weight": 0.3, "rerank_enabled": False}
 
@@ -48,21 +50,28 @@ def vector_hits(vectors: DataFrame, query: list[float], limit: int, id_col: str
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
-#: Vectors that top_k_per_query scores at a time for one query.
+#: Rows of a packed block of vectors or queries.
 BLOCK = 1024
 
 
 def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """O1 for a table of queries (query_id, vector) of any size: blocks of vectors are scored query by query, and k rows a block and query are ranked.
+    """O1 for a table of queries (query_id, vector) of any size: blocks of vectors meet blocks of queries, and k rows a query leave each task.
 
-    Queries are broadcast if Spark finds them small, else joined as a product of their partitions and those of the blocks.
+    The product of both sides' partitions is the whole exact search; a task holds one pair of blocks and the k rows found so far.
     """
-    row = F.struct("id", doubles("embedding").alias("v"), norm("embedding").alias("n"))
-    blocks = vectors.groupBy(F.floor(F.monotonically_increasing_id() / BLOCK).alias("b")).agg(F.collect_list(row).alias("block"))
-    asked = queries.select("query_id", doubles("vector").alias("q"), norm("vector").alias("qn"))
-    score = lambda x: clamp(F.coalesce(F.try_divide(dot(x["v"], F.col("q")), x["n"] * F.col("qn")), F.lit(0.0)))
-    best = F.slice(F.array_sort(F.transform("block", lambda x: F.struct((-score(x)).alias("s"), x["id"].alias("id")))), 1, k)
-    kept = blocks.join(asked, F.lit(True)).select("query_id", F.explode(best).alias("x")).select("query_id", "x.id", (-F.col("x.s")).alias("score"))
+    ship_package(vectors.sparkSession)
+    bound_batches(vectors.sparkSession)
+    size, parts = BLOCK, vectors.sparkSession.sparkContext.defaultParallelism
+
+    def blocks(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+        rows = rows.select(F.col(id_col).alias("id"), doubles(vector_col).alias("v"))
+        kind = rows.schema["id"].dataType.simpleString()
+        return rows.mapInArrow(lambda batches: packed(batches, size), f"ids array<{kind}>, dims int, cells binary").repartition(parts)
+
+    asked = blocks(queries, "query_id", "vector").select(F.monotonically_increasing_id().alias("b"), F.col("ids").alias("query_ids"), F.col("dims").alias("query_dims"), F.col("cells").alias("query_cells"))
+    pairs = asked.hint("shuffle_replicate_nl").crossJoin(blocks(vectors, "id", "embedding"))
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    kept = pairs.mapInArrow(lambda batches: leading(batches, k), f"query_id {kinds[0]}, id {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= k)
 
