@@ -15,6 +15,7 @@ from ..operators import ocr as O
 from ..operators import retrieval as R
 from ..operators import segmentation as S
 from ..operators import tables as B
+from ..operators.keyword_index import keyword_recall
 from .model import read
 
 QUERIES: dict = {}
@@ -213,8 +214,9 @@ def r5(spark, sf):
 def w3(spark, sf):
     options = R.Options("hybrid", 10, 0.05)
     segs, docs, indexes, datasets = _documents(spark, sf)
-    live = segs.where("status = 'completed'")
-    fused = R.fuse(_vectors(spark, sf, options), R.keyword_hits(live, _query_terms(spark, sf)), None, R.visible_segments(segs, docs, indexes, datasets), options)
+    semantic = _vectors(spark, sf, options)
+    hits = keyword_recall(spark, _keyword_index(spark, sf), _query_terms(spark, sf), options.mode, options.score_threshold, options.keyword_weight, semantic)
+    fused = R.fuse(semantic, hits, None, R.visible_segments(segs, docs, indexes, datasets), options)
     rerank = segs.select("id", ((F.col("id") * 7) % 101).cast("double").alias("score"))
     out = R.ranked(fused, rerank)
     return out.select("id", F.col("before_rank").cast("long").alias("before_rank"), F.col("after_rank").cast("long").alias("after_rank"), V.result_score(F.col("score")).alias("score"))
