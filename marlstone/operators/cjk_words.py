@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK
+from ..shipping import ship_package
 
 LONGEST = 4
 #: Words of a dictionary that the cutter takes, by count: some 50 MB in each task. A documented bound of the model, not of the texts.
@@ -101,6 +102,8 @@ class WordGraph:
 
 def dictionary_cutter(words: DataFrame, most: int = MOST_WORDS) -> Callable[[], WordGraph]:
     """A function that opens the cutter in a task, for `ranked_terms` and `cut_cjk`; words: word, n. The most frequent `most` are taken."""
+    ship_package(words.sparkSession)
     kept = {r["word"]: r["n"] for r in words.select("word", "n").orderBy(F.desc("n"), "word").limit(most).collect()}
-    shared = words.sparkSession.sparkContext.broadcast(kept)
-    return lambda: WordGraph(shared.value)
+    # the graph itself is shared: a worker holds one trie, not a dictionary and a trie for each task
+    shared = words.sparkSession.sparkContext.broadcast(WordGraph(kept))
+    return lambda: shared.value
