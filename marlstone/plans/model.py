@@ -10,11 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..dealing import dealt, tasks_for
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def segment_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for the segments, which are at most the rows of lineitem."""
+    return tasks_for(read(spark, sf_dir, "lineitem"))
+
+
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     permission = (
@@ -41,7 +48,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, docs = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    l, docs = dealt(read(spark, sf_dir, "lineitem"), "l_orderkey"), read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = l.join(docs, l["l_orderkey"] == docs["o_orderkey"])
     child = (F.col("l_linenumber") > 1) & (F.col("l_partkey") % 2 == 0)
     return joined.select(

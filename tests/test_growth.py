@@ -77,3 +77,35 @@ def test_segments_pass_in_small_batches(spark, wide_batches):
     found = segmentation.segment_documents(rows, segmentation.Config(max_length=20, overlap=0))
     assert "".join(r.content for r in found.orderBy("position").collect()) == "x" * 30
     assert wide_batches()[0] <= 1_000
+
+
+def test_rows_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    from marlstone import dealing
+
+    monkeypatch.setattr(dealing, "TASK_ROWS", 100)
+    rows = spark.range(950).selectExpr("id", "id % 400 AS k").coalesce(1)
+    assert dealing.dealt(rows, "k").rdd.getNumPartitions() == 10 and sorted(r.id for r in dealing.dealt(rows, "k").collect()) == list(range(950))
+    assert dealing.dealt(rows.limit(100), "k").rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("name", ["p14_candidate_violations", "j8_legacy_segments", "j21_a13_d3_latest_revision", "p9_row_groups", "a21_m6_publish_decisions", "d3_revision_history"])
+def test_tasks_of_large_tables_follow_their_rows(spark, duck, monkeypatch, name):
+    """lineitem is dealt out by its number of rows, and the results stay."""
+    from marlstone import dealing
+
+    from .conftest import same_rows
+
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    monkeypatch.setattr(dealing, "TASK_ROWS", rows // 5)
+    found = catalog.QUERIES[name](spark, DATA)
+    assert "RepartitionByExpression" in plan(found, "optimizedPlan")
+    same_rows(found, duck.sql(catalog.ORACLE_SQL[name]))
+
+
+def test_trigrams_are_cut_after_rows_are_dealt(spark, monkeypatch):
+    from marlstone.operators import substring_index
+
+    seen = []
+    monkeypatch.setattr(substring_index, "build_keywords", lambda rows, path: seen.append(rows))
+    substring_index.build(spark.range(100).selectExpr("id", "cast(id AS string) AS name").coalesce(1), ("name",), "unused")
+    assert seen[0].rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
