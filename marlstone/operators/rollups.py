@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dealing import dealt, tasks_for
+
 #: States that count as in progress or failed.
 DOCUMENT_BUSY = ("downloading", "parsing", "splitting", "embedding", "indexing", "queued", "retry_wait")
 DOCUMENT_FAILED = ("error", "failed")
@@ -127,11 +129,13 @@ def next_position(docs: DataFrame) -> DataFrame:
     return docs.groupBy("dataset_id").agg((F.coalesce(F.max(F.when(~F.col("deleted"), F.col("position"))), F.lit(0)) + 1).alias("next_position"))
 
 
-def legacy_visible(segments: DataFrame, indexes: DataFrame) -> DataFrame:
-    """Segments of active indexes, and those without index only in datasets that have no active index."""
+def legacy_visible(segments: DataFrame, indexes: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Segments of active indexes, and those without index only in datasets that have no active index. tasks: for `dealing.dealt`."""
+    segments = segments.select("id", "document_id", "position", "status", "dataset_id", "dataset_index_id")
+    tasks = tasks_for(segments) if tasks is None else tasks
     active = indexes.where((F.col("status") == "active") & ~F.col("deleted"))
-    of_index = segments.join(active.select(F.col("id").alias("dataset_index_id")), "dataset_index_id", "left_semi")
-    legacy = segments.where(F.col("dataset_index_id").isNull()).join(active.select("dataset_id"), "dataset_id", "left_anti")
+    of_index = dealt(segments.where(F.col("dataset_index_id").isNotNull()), "dataset_index_id", tasks=tasks).join(active.select(F.col("id").alias("dataset_index_id")), "dataset_index_id", "left_semi")
+    legacy = dealt(segments.where(F.col("dataset_index_id").isNull()), "dataset_id", tasks=tasks).join(active.select("dataset_id"), "dataset_id", "left_anti")
     return of_index.select("id", "document_id", "position", "status").unionAll(legacy.select("id", "document_id", "position", "status"))
 
 

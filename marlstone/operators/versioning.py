@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dealing import dealt
 from .rollups import terminal_status
 
 
@@ -62,12 +63,14 @@ def flatten_revision(technique: Column, index_type: Column, parent_id: Column) -
     return F.struct(F.when(flat, "general").otherwise(index_type).alias("index_type"), F.when(~flat, parent_id).alias("parent_id"))
 
 
-def publish_decisions(jobs: DataFrame, job_documents: DataFrame, segments: DataFrame) -> DataFrame:
+def publish_decisions(jobs: DataFrame, job_documents: DataFrame, segments: DataFrame, tasks: int | None = None) -> DataFrame:
     """Decision for each job's full build: wait, fail or publish.
 
     jobs: id, technique; segments: job_id, document_id, status, index_type, embedding_status. Publish
     needs every document terminal, none failed or cancelled, a staged segment for each, and all ready.
+    tasks: 1 for segments that are dealt by job.
     """
+    job_documents, segments = dealt(job_documents, "job_id"), dealt(segments, "job_id", tasks=tasks)
     docs = job_documents.groupBy("job_id").agg(
         F.count("*").alias("n"), F.count_if(~F.col("status").isin("completed", "failed", "cancelled")).alias("open"), F.count_if(F.col("status").isin("failed", "cancelled")).alias("bad"),
         F.count_if(F.col("status") == "cancelled").alias("cancelled"), F.countDistinct("document_id").alias("wanted"), terminal_status().alias("terminal"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..dealing import dealt
 from ..operators import jobs as J
 from ..operators import rollups as R
 from ..operators import versioning as V
@@ -212,7 +213,7 @@ def p20(spark, sf):
   SELECT id, document_id, position, status FROM segments WHERE dataset_index_id IN (SELECT id FROM act)
   OR (dataset_index_id IS NULL AND dataset_id NOT IN (SELECT dataset_id FROM act))""")
 def j8(spark, sf):
-    return R.legacy_visible(M.segments(spark, sf), M.indexes(spark, sf))
+    return R.legacy_visible(M.segments(spark, sf), M.indexes(spark, sf), M.segment_tasks(spark, sf))
 
 
 @query("j9_unpublished_jobs", "SELECT id, status FROM jobs j WHERE EXISTS (SELECT 1 FROM segments s WHERE s.document_id = j.id AND NOT s.deleted AND s.status = 'indexing')")
@@ -269,10 +270,10 @@ def m6(spark, sf):
     jobs = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, "economy").otherwise("high_quality").alias("technique"))
     key = (F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("document_id"))
     rows = l.select(*key, F.when(F.col("l_suppkey") % 40 == 0, "failed").when(F.col("l_suppkey") % 41 == 0, "running").otherwise("completed").alias("status"))
-    staged = l.where(F.col("l_partkey") % 20 > 0).join(o, l["l_orderkey"] == o["o_orderkey"]).select(
+    staged = dealt(l, "l_orderkey").where(F.col("l_partkey") % 20 > 0).join(o, l["l_orderkey"] == o["o_orderkey"]).select(
         *key, F.lit("indexing").alias("status"), F.when((F.col("o_custkey") % 2 == 0) | (F.col("l_partkey") % 50 == 0), "not_required").otherwise("completed").alias("embedding_status"), F.lit("general").alias("index_type")
     )
-    return V.publish_decisions(jobs, rows, staged)
+    return V.publish_decisions(jobs, rows, staged, tasks=1)
 
 
 @query("m6_switch_indexes", """, t AS (SELECT c_custkey * 10 + 2 AS id, c_custkey AS dataset_id FROM customer WHERE c_custkey % 3 = 0)
