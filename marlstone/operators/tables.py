@@ -7,6 +7,8 @@ from datetime import date, datetime, time
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dealing import dealt
+
 #: Names of blank columns, and the marks between and inside pairs.
 BLANK_COLUMN, PAIR, NEXT = "列", "：", "；"
 MAX_ROWS, MAX_COLUMNS, MAX_CELL = 100_000, 1_000, 100_000
@@ -112,7 +114,8 @@ def tables_to_blocks(cells: DataFrame) -> DataFrame:
     return rows.where(F.col("text") != "")
 
 
-def grouped_rows(blocks: DataFrame) -> DataFrame:
-    """Sheet, group, first_row, last_row of adjacent rows, by gaps and islands within each sheet."""
+def grouped_rows(blocks: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Sheet, group, first_row, last_row of adjacent rows, by gaps and islands within each sheet. tasks: 1 for blocks that are dealt by sheet."""
+    blocks = dealt(blocks, "sheet", tasks=tasks)
     island = F.col("row") - F.row_number().over(Window.partitionBy("sheet").orderBy("row"))
     return blocks.withColumn("__g", island).groupBy("sheet", "__g").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("rows")).drop("__g")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dealing import dealt
 from ..functions import identity as I
 from ..functions import text as T
 from ..functions import vectors as V
@@ -484,7 +485,8 @@ def p8(spark, sf):
 @query("p9_row_groups", """WITH r AS (SELECT DISTINCT l_suppkey AS sheet, l_partkey AS n FROM lineitem), g AS (SELECT *, n - row_number() OVER (PARTITION BY sheet ORDER BY n) AS k FROM r)
   SELECT sheet, min(n) AS first_row, max(n) AS last_row, count(*) AS rows FROM g GROUP BY sheet, k""")
 def p9(spark, sf):
-    return B.grouped_rows(read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_partkey").alias("row")).distinct())
+    rows = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_partkey").alias("row"))
+    return B.grouped_rows(dealt(rows, "sheet").distinct(), tasks=1)
 
 
 # --- OCR and warnings ---------------------------------------------------------------------------------------------
