@@ -43,6 +43,8 @@ def pattern_grams(pattern: str) -> list[str]:
 
 def build(rows: DataFrame, columns: tuple[str, ...], path: str) -> KeywordIndex:
     """Write the trigrams of the columns of rows (id and them) below path."""
+    # a small file may hold very many rows in one split: they are dealt out before the trigrams are cut
+    rows = rows.select("id", *columns).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "id")
     return build_keywords(rows.select("id", F.array_distinct(F.flatten(F.array(*[grams(F.col(c)) for c in columns]))).alias("keywords")), path)
 
 
