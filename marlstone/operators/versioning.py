@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dealing import dealt
+from ..dealing import dealt, tasks_for
 from .rollups import terminal_status
 
 
@@ -70,13 +70,19 @@ def publish_decisions(jobs: DataFrame, job_documents: DataFrame, segments: DataF
     needs every document terminal, none failed or cancelled, a staged segment for each, and all ready.
     tasks: 1 for segments that are dealt by job.
     """
-    job_documents, segments = dealt(job_documents, "job_id"), dealt(segments, "job_id", tasks=tasks)
+    job_tasks = tasks_for(job_documents)
+    job_documents, segments = dealt(job_documents, "job_id", tasks=job_tasks), dealt(segments, "job_id", tasks=tasks)
     docs = job_documents.groupBy("job_id").agg(
         F.count("*").alias("n"), F.count_if(~F.col("status").isin("completed", "failed", "cancelled")).alias("open"), F.count_if(F.col("status").isin("failed", "cancelled")).alias("bad"),
         F.count_if(F.col("status") == "cancelled").alias("cancelled"), F.countDistinct("document_id").alias("wanted"), terminal_status().alias("terminal"),
     )
-    staged = segments.join(jobs.select(F.col("id").alias("job_id"), "technique"), "job_id").join(job_documents.select("job_id", "document_id").distinct(), ["job_id", "document_id"], "left_semi")
-    checked = staged.groupBy("job_id").agg(F.countDistinct("document_id").alias("found"), F.count_if(~ready_for_activation(F.col("technique"), F.col("status"), F.col("index_type"), F.col("embedding_status"))).alias("unready"))
+    staged = segments.join(jobs.select(F.col("id").alias("job_id"), "technique"), "job_id")
+    unready = ~ready_for_activation(F.col("technique"), F.col("status"), F.col("index_type"), F.col("embedding_status"))
+    # pairs are matched by grouping: a join by both keys would deal the rows anew
+    pairs = staged.select("job_id", "document_id", F.lit(False).alias("asked"), F.coalesce(unready, F.lit(False)).alias("unready")).unionAll(job_documents.select("job_id", "document_id", F.lit(True), F.lit(False)))
+    pairs = dealt(pairs.where(F.col("document_id").isNotNull()), "job_id", tasks=2 * job_tasks)
+    matched = pairs.groupBy("job_id", "document_id").agg(F.bool_or("asked").alias("asked"), F.count_if(~F.col("asked")).alias("staged"), F.count_if("unready").alias("unready")).where("asked AND staged > 0")
+    checked = matched.groupBy("job_id").agg(F.count("*").alias("found"), F.sum("unready").alias("unready"))
     joined = jobs.select(F.col("id").alias("job_id")).join(docs, "job_id", "left").join(checked, "job_id", "left")
     decision = (
         F.when(F.coalesce("n", F.lit(0)) == 0, "wait").when(F.col("open") > 0, "wait").when(F.col("cancelled") == F.col("n"), "cancelled").when(F.col("bad") > 0, "failed")
